@@ -9,13 +9,14 @@ characters) go to the library whole.
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
 
 _LOADED: dict[tuple[str, str], "CachedEncoder"] = {}
 #: Most entries that a worker keeps; a full cache starts anew, results stay the same.
-STRETCHES, PIECES = 400_000, 300_000
+STRETCHES, PIECES = 250_000, 500_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -40,40 +41,87 @@ class _Memo(dict):
         return value
 
 
+#: Pre-token patterns of the two kinds of vocabulary that can be taken apart.
+_BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_names() -> dict[int, str]:
+    """Byte-level vocabularies name printable Latin-1 characters by themselves, the other bytes from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class CachedEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, vocabulary: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.model = self.library.model
         self.normalizer, self.splitter = self.library.normalizer, self.library.pre_tokenizer
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.kind = self._recognised()
         # A vocabulary that drops white space has stretches without their leading blank.
-        self.blank = "" if self.normalizer is not None else " "
+        self.blank = " " if self.kind == "byte" else ""
+        split = _BYTE_SPLIT if self.kind == "byte" else _WORD_SPLIT
+        self.split = regex.compile(split).findall
+        self.split_ascii = re.compile(_ascii(split)).findall
+        self.names = _byte_names()
         self.pieces = _Memo(self._piece, PIECES)
         self.first = _Memo(self._stretch, 10_000)
         self.rest = _Memo(lambda s: self._stretch(self.blank + s), STRETCHES)
 
+    def _recognised(self) -> str:
+        """"byte" or "word" for the set-ups whose stretches are known to be independent, else ""."""
+        conf = json.loads(self.library.to_str())
+        model, before, split = conf["model"], conf["normalizer"], conf["pre_tokenizer"] or {}
+        if model["type"] != "BPE" or model["dropout"] or conf["truncation"] or conf["padding"]:
+            return ""
+        if before is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]:
+            return "byte"
+        steps = [x["type"] for x in (before or {}).get("normalizers", [])]
+        parts = split.get("pretokenizers", [{}])
+        if steps == ["NFC", "Replace", "Lowercase"] and parts[0].get("pattern", {}).get("Regex") == _WORD_SPLIT and parts[0]["behavior"] == "Removed":
+            return "word"
+        return ""
+
     def _piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
+        """A pre-token, not yet in byte names."""
+        named = piece.encode().decode("latin-1").translate(self.names)
+        return np.array([t.id for t in self.model.tokenize(named)], dtype="<u4").tobytes()
 
     def _stretch(self, stretch: str) -> bytes:
-        if self.normalizer is not None:
-            stretch = self.normalizer.normalize_str(stretch)
-        return b"".join([self.pieces[p] for p, _ in self.splitter.pre_tokenize_str(stretch)])
+        if stretch.isascii():
+            parts = self.split_ascii(stretch if self.blank else stretch.lower())
+        elif _LATIN.match(stretch):  # characters on whose case, class and form all Unicode versions agree
+            parts = self.split(stretch if self.blank else stretch.lower())
+        else:
+            if self.normalizer is not None:
+                stretch = self.normalizer.normalize_str(stretch)
+            named = [p for p, _ in self.splitter.pre_tokenize_str(stretch)]
+            return np.array([t.id for p in named for t in self.model.tokenize(p)], dtype="<u4").tobytes()
+        return b"".join(map(self.pieces.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or _CONTROL.search(text):
+        if not self.kind or any(s in text for s in self.special) or _CONTROL.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if self.blank:
-            parts = _BEFORE_WORD.split(text) if _ODD_BLANK.search(text) else text.split(" ")
+        if self.blank and _ODD_BLANK.search(text):
+            parts = _BEFORE_WORD.split(text)
         else:
             parts = text.split(" ")
         return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
 
 
+def _ascii(split: str) -> str:
+    """The same pattern for ASCII texts in the faster matcher."""
+    return split.replace(r"[\p{L}]", "[A-Za-z]").replace(r"[\p{N}]", "[0-9]").replace(r" ?\p{L}+", " ?[A-Za-z]+").replace(r" ?\p{N}+", " ?[0-9]+").replace(r"\p{L}\p{N}", "A-Za-z0-9")
+
+
+_LATIN = re.compile("[\x00-\u012f\u0131-\u024f]*\\Z")
 _CONTROL = re.compile("[\x1c-\x1f]")
 _ODD_BLANK = re.compile(r" (?:\s|\Z)")
 _BEFORE_WORD = re.compile(r" (?=\S)")

@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import json
 import re
-
-import numpy as np
+import sys
+from array import array
 
 _LOADED: dict[tuple[str, str], "CachedEncoder"] = {}
 #: Most entries that a worker keeps; a full cache starts anew, results stay the same.
-STRETCHES, PIECES = 250_000, 500_000
+STRETCHES, PIECES = 250_000, 800_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -53,6 +53,16 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+_BLANK_NAME = chr(256 + 32)
+
+
+def _little(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class CachedEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit bytes."""
 
@@ -91,8 +101,11 @@ class CachedEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """A pre-token, not yet in byte names."""
-        named = piece.encode().decode("latin-1").translate(self.names)
-        return np.array([t.id for t in self.model.tokenize(named)], dtype="<u4").tobytes()
+        if piece.isascii() and (word := piece[1:] if piece[0] == " " else piece).isalnum():  # letters and digits name themselves
+            named = word if word is piece else _BLANK_NAME + word
+        else:
+            named = piece.encode().decode("latin-1").translate(self.names)
+        return _little([t.id for t in self.model.tokenize(named)])
 
     def _stretch(self, stretch: str) -> bytes:
         if stretch.isascii():
@@ -103,12 +116,12 @@ class CachedEncoder:
             if self.normalizer is not None:
                 stretch = self.normalizer.normalize_str(stretch)
             named = [p for p, _ in self.splitter.pre_tokenize_str(stretch)]
-            return np.array([t.id for p in named for t in self.model.tokenize(p)], dtype="<u4").tobytes()
+            return _little([t.id for p in named for t in self.model.tokenize(p)])
         return b"".join(map(self.pieces.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
         if not self.kind or any(s in text for s in self.special) or _CONTROL.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return _little(self.library.encode(text, add_special_tokens=False).ids)
         if self.blank and _ODD_BLANK.search(text):
             parts = _BEFORE_WORD.split(text)
         else:

@@ -26,6 +26,8 @@ from .subwords import encoder
 
 MAGIC = b"OQWM0001"
 BLOCK = 512
+#: Ids handled at once while a plane is made or undone; a multiple of BLOCK.
+STEP = 1 << 17
 #: Ids after which a shard is closed (at the end of a document).
 SHARD_IDS = 4_000_000
 
@@ -43,16 +45,20 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         zeros, ranks, planes = [], [], []
         for level in reversed(range(bits)):
-            ones = (now & now.dtype.type(1 << level)) != 0
-            plane = np.packbits(ones, bitorder="little")
-            plane = np.concatenate([plane, np.zeros(-len(plane) % (BLOCK // 8), np.uint8)])
+            bit, lows, highs, bools = now.dtype.type(1 << level), [], [], []
+            for at in range(0, n, STEP):  # in steps that stay in the cache
+                some = now[at:at + STEP]
+                ones = (some & bit) != 0
+                bools.append(np.packbits(ones, bitorder="little"))
+                # Index lists beat masks here: random bits would make each masked copy mispredict.
+                lows.append(some.take(np.flatnonzero(~ones)))
+                highs.append(some.take(np.flatnonzero(ones)))
+            plane = np.concatenate([*bools, np.zeros(-(-(-n // 8)) % (BLOCK // 8), np.uint8)])
             per_block = np.bitwise_count(plane.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint64)
             ranks.append(np.concatenate([[0], np.cumsum(per_block)]).astype("<u4"))
             planes.append(plane)
-            # Index lists beat masks here: random bits would make each masked copy mispredict.
-            low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
-            zeros.append(len(low))
-            now = np.concatenate([now.take(low), now.take(high)])
+            zeros.append(sum(map(len, lows)))
+            now = np.concatenate([*lows, *highs]) if n else now
         return cls(n, bits, zeros, ranks, planes)
 
     def _rank1(self, plane: int, at: np.ndarray) -> np.ndarray:
@@ -121,11 +127,16 @@ class WaveletMatrix:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         now = np.zeros(self.n, dtype=kind)
         for level, plane in enumerate(reversed(range(self.bits))):
-            ones = np.unpackbits(self.planes[plane], count=self.n, bitorder="little").view(bool)
+            bits = self.planes[plane]
             up = np.empty(self.n, dtype=kind)
-            cut = self.zeros[plane]
-            up[np.flatnonzero(~ones)] = now[:cut]
-            up[np.flatnonzero(ones)] = now[cut:] | kind(1 << level)
+            low, high, bit = 0, self.zeros[plane], kind(1 << level)
+            for at in range(0, self.n, STEP):
+                some = up[at:at + STEP]
+                ones = np.unpackbits(bits[at // 8:(at + STEP) // 8], count=len(some), bitorder="little").view(bool)
+                where0, where1 = np.flatnonzero(~ones), np.flatnonzero(ones)
+                some[where0] = now[low:low + len(where0)]
+                some[where1] = now[high:high + len(where1)] | bit
+                low, high = low + len(where0), high + len(where1)
             now = up
         return now
 

@@ -196,15 +196,15 @@ def choose(model: Model, texts: list[str | None]) -> tuple[list[str], list[float
     return named, scores
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of docs with lang_pred and score (0 to 1) added.
+def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All rows and columns of docs with the language and its score (0 to 1) added under `names`.
 
     und with score 0 where the text is null or has no letter.  Equal code lengths go to
-    the first language by name.  Only `text` decides; an older lang_pred or score is replaced.
+    the first language by name.  Only `text` decides; older columns of these names are replaced.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop(*names)
     at = kept.columns.index("text")
 
     def make():
@@ -213,13 +213,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             named, scores = choose(frozen, batch.column(at).to_pylist())
             return pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(named, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"]
+                [*batch.columns, pa.array(named, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names]
             )
 
         return step
 
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return map_rows(kept, make, f"{schema}, lang_pred string, score double")
+    return map_rows(kept, make, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def language_of(docs: DataFrame) -> DataFrame:

@@ -166,7 +166,7 @@ def _as_batches(found):
 
 
 def near_links(nodes: DataFrame, distance: int = 3, segments: int = 2, most: int = CELL) -> DataFrame:
-    """Links (a, b, bits) between rep numbers of (fp, rep) rows with distinct fp.
+    """Links (a, b, bits) between rep numbers of (fp, rep) rows with distinct rep.
 
     They connect exactly the fingerprints that chains of at most `distance` bits connect.
     """
@@ -192,7 +192,7 @@ def _deal(rows: DataFrame, hot: DataFrame, most: int) -> DataFrame:
     """Rows of crowded cells, dealt to blocks: a table row stands in one and looks up the later ones, a lookup goes to all."""
     calm = rows.join(hot, "cell", "left_anti")
     blocks = rows.join(hot, "cell").withColumn("n", F.ceil(F.col("count") / F.lit(most)).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    own = F.pmod(F.xxhash64("fp", "rep"), F.col("n")).cast("int")
     first = F.when(F.col("role") == 0, own).otherwise(F.lit(0))
     dealt = blocks.withColumn("own", first).withColumn("block", F.explode(F.sequence("own", F.col("n") - 1)))
     dealt = dealt.withColumn("role", F.when((F.col("role") == 0) & (F.col("block") == F.col("own")), 0).otherwise(1).cast("byte"))
@@ -215,3 +215,87 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, segments
     named = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     named = Table(named, "named").df
     return prints.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The (a, b) pairs whose shingle sets have a Jaccard similarity of at least `least`."""
+    left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("left"))
+    right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("right"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared >= least * (len(x) + len(y) - shared):
+                    keep.append(k)
+            if keep:
+                yield batch.select(["a", "b"]).take(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def duplicate_groups(docs: DataFrame, width: int = 3, distance: int = 11, segments: int = 4, shingle: int = 5, similarity: float = 0.8, most: int = CELL) -> DataFrame:
+    """(doc_id, group_id) of documents in groups of near-duplicates, group_id being the group's smallest doc_id.
+
+    Fingerprints (of `width` words) within `distance` bits propose pairs; a Jaccard
+    similarity of their sets of `shingle`-word runs of at least `similarity` confirms
+    them.  Texts with the same words in the same order are one node.  Of a table cell's
+    proposals the shortest ones that connect it are verified, and every member of a
+    proposed component against its first document, so the work stays in proportion to
+    the number of texts.  Rows with a null doc_id are in no group.
+    """
+
+    def make():
+        import xxhash
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            fps, sums = [], []
+            for text in batch.column(1).to_pylist():
+                fps.append(fingerprint(shingle_hashes(text, width)))
+                sums.append(int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words(text)), SEED)).astype(np.int64)))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "fp", "sum"])
+
+        return step
+
+    texts = doc_text(docs).where("doc_id is not null")
+    prints = Table(map_rows(texts, make, "doc_id long, fp long, sum long"), "prints").df
+    nodes = Table(prints.groupBy("fp", "sum").agg(F.min("doc_id").alias("rep")), "nodes").df
+    links = Table(near_links(nodes.select("fp", "rep"), distance, segments, most).select("a", "b").distinct(), "near").df
+    proposed = connected_components(links)
+    pairs = links.union(proposed.select(F.col("root").alias("a"), F.col("node").alias("b"))).distinct()
+    pairs = Table(pairs, "pairs").df
+    members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def sets():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            hashes = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], ["rep", "hashes"])
+
+        return step
+
+    # A doc_id that repeats has one set: that of its smallest text.
+    chosen = map_rows(texts.join(members, "doc_id", "left_semi"), sets, "rep long, hashes binary")
+    hashed = Table(chosen.groupBy("rep").agg(F.min("hashes").alias("hashes")), "sets").df
+    roots = connected_components(_similar(pairs, hashed, similarity))
+    grouped = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", "sum", F.coalesce("root", "rep").alias("group_id"))
+    grouped = Table(grouped, "grouped").df
+    return prints.join(grouped, ["fp", "sum"]).select("doc_id", "group_id")
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group the row with the smallest doc_id stays.
+
+    Rows that repeat a doc_id are one document: the first of them (by text) stays.  Rows
+    with a null doc_id all stay.
+    """
+    groups = Table(duplicate_groups(docs, **options), "groups").df
+    dropped = Table(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("__drop")).distinct(), "dropped").df
+    kept = docs.join(dropped, F.col("doc_id").cast("long") == F.col("__drop"), "left_anti")
+    twice = Table(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), "twice").df
+    if twice.isEmpty():
+        return kept
+    same = F.col("doc_id").cast("long") == F.col("__twice")
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").orderBy("doc_id", "text").dropDuplicates(["doc_id"]))

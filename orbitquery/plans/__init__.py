@@ -1,0 +1 @@
+"""Query catalogue over the test tables, and the matching pipeline."""

@@ -1,0 +1 @@
+"""Readers, sinks and extractor hooks."""

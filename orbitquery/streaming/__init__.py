@@ -1,0 +1 @@
+"""Incremental discovery of chips, and stateful progress of queries."""

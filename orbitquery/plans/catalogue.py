@@ -511,7 +511,7 @@ def homography_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_homographies(spark, sf_dir).select("ok", "ln", "pk", "sk", angle.alias("angle")).where("abs(angle) <= 20"), "angle")
 
 
-@query(f"{with_sql('planted')} SELECT g, 2.0::DOUBLE AS a, 0.1::DOUBLE AS b, 3.0::DOUBLE AS c FROM planted GROUP BY g")
+@query(f"{with_sql('planted')} SELECT g, CASE WHEN count(*) > 2 THEN 2.0::DOUBLE END AS a, CASE WHEN count(*) > 2 THEN 0.1::DOUBLE END AS b, CASE WHEN count(*) > 2 THEN 3.0::DOUBLE END AS c FROM planted GROUP BY g")
 def affine_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(homography.affine_fit(fx.planted(spark, sf_dir), ["g"], "u", "v", "x"), "a", "b", "c")
 

@@ -34,7 +34,8 @@ class PieceCounter:
         pieces = map(self.library.id_to_piece, range(self.library.get_piece_size()))
         #: Pre-tokens are independent only if no piece has the mark behind another character.
         self.separable = not any(BLANK_MARK in p.lstrip(BLANK_MARK) for p in pieces)
-        self.known = _Memo(lambda unit: len(self.library.encode(unit)), KNOWN)
+        # A unit is written without its first blank; an empty one is a blank that ends the text.
+        self.known = _Memo(lambda unit: len(self.library.encode(unit)) if unit else 1, KNOWN)
 
     def count(self, text: str) -> int:
         if not text:

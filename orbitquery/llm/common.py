@@ -92,10 +92,22 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
                 out = step(part)
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+_RESIDENT: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], object]):
+    """What a worker process keeps between tasks: one thing only, so that workers serving several operators in turn stay small."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def arrow_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 

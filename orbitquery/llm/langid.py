@@ -22,20 +22,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, map_rows
+from .common import Table, map_rows, resident
 
 ORDER = 3
 #: Expected sample rows of a language, and most languages: the bound on what is learned from.
 ROWS_PER_LANGUAGE, LANGUAGES = 400, 256
 #: Bytes of the unrolled table in a worker.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
 UNDECIDED = "und"
 #: A score tells how sure the choice is on the evidence of this many bytes at most.
 EVIDENCE = 64
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PAD = b" " * ORDER
-_TABLES: dict[int, np.ndarray] = {}
 
 
 @dataclass(frozen=True)
@@ -53,10 +52,13 @@ class Model:
 
     def table(self) -> np.ndarray:
         """Bits of the last symbol of each run of ORDER + 1 symbols, by language: kept by the worker."""
-        if self.stamp not in _TABLES:
-            _TABLES.clear()
-            _TABLES[self.stamp] = np.ascontiguousarray(np.stack([_unroll(i, n, self.size) for i, n in self.grams], axis=1))
-        return _TABLES[self.stamp]
+        return resident(("contexts", self.stamp), self._unrolled)
+
+    def _unrolled(self) -> np.ndarray:
+        table = np.empty((self.size ** (ORDER + 1), len(self.grams)), dtype=np.float32)
+        for k, (index, count) in enumerate(self.grams):
+            table[:, k] = _unroll(index, count, self.size)
+        return table
 
     def code_lengths(self, texts: list[str]) -> np.ndarray:
         """Bits of each text under each language (texts by languages), padding not counted."""
@@ -92,21 +94,21 @@ class Model:
 
 def _unroll(index: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
     """The context tree of one language as bits for every run of symbols."""
-    full = np.zeros(size ** (ORDER + 1))
+    full = np.zeros(size ** (ORDER + 1), dtype=np.float32)
     np.add.at(full, index, count)
     levels = [full]
     for k in range(ORDER, 0, -1):  # counts of shorter contexts: the oldest symbol is summed away
         levels.append(levels[-1].reshape(size, -1).sum(axis=0))
-    share = np.full(size, 1.0 / size)
+    share = np.full(size, 1.0 / size, dtype=np.float32)
     for counts in reversed(levels):
         by_context = counts.reshape(-1, size)
-        n, kinds = by_context.sum(axis=1, keepdims=True), (by_context > 0).sum(axis=1, keepdims=True)
+        n, kinds = by_context.sum(axis=1, keepdims=True), (by_context > 0).sum(axis=1, keepdims=True, dtype=np.float32)
         shorter = np.tile(share.reshape(-1, size), (len(by_context) // max(1, len(share) // size), 1)) if len(by_context) > 1 else share.reshape(1, size)
         known = n + kinds
         with np.errstate(divide="ignore", invalid="ignore"):
             found = np.where(by_context > 0, by_context / known, kinds / known * shorter)
         share = np.where(n > 0, found, shorter).reshape(-1)
-    return (-np.log2(share)).astype(np.float32)
+    return -np.log2(share)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -14,9 +14,10 @@ import re
 import sys
 from array import array
 
-_LOADED: dict[tuple[str, str], "CachedEncoder"] = {}
+from .common import resident
+
 #: Most entries that a worker keeps; a full cache starts anew, results stay the same.
-STRETCHES, PIECES = 250_000, 500_000
+STRETCHES, PIECES = 150_000, 300_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -142,7 +143,4 @@ _BEFORE_WORD = re.compile(r" (?=\S)")
 
 def encoder(vocabulary: str) -> CachedEncoder:
     """One per worker process, so that later tasks find the cache warm."""
-    key = ("tokenizers", vocabulary)
-    if key not in _LOADED:
-        _LOADED[key] = CachedEncoder(vocabulary)
-    return _LOADED[key]
+    return resident(("tokenizers", vocabulary), lambda: CachedEncoder(vocabulary))

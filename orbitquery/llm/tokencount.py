@@ -16,14 +16,13 @@ from operator import mul
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_text, map_rows
+from .common import doc_text, map_rows, resident
 from .subwords import _Memo, encoder, vocabulary_path
 
 #: Most distinct pre-tokens that a worker remembers; beyond it counting starts a new memory.
 KNOWN = 500_000
 BLANK_MARK = "▁"
 _UNITS = re.compile(r" *[^ ]+| +\Z")
-_COUNTERS: dict[str, "PieceCounter"] = {}
 
 
 class PieceCounter:
@@ -61,9 +60,9 @@ class IdCounter:
 
 
 def counter(vocabulary: str):
-    if vocabulary not in _COUNTERS:
-        _COUNTERS[vocabulary] = (PieceCounter if vocabulary.endswith(".model") else IdCounter)(vocabulary)
-    return _COUNTERS[vocabulary]
+    if not vocabulary.endswith(".model"):
+        return IdCounter(vocabulary)
+    return resident(("sentencepiece", vocabulary), lambda: PieceCounter(vocabulary))
 
 
 def token_counts(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", limit: int = 4096) -> DataFrame:

@@ -25,6 +25,8 @@ from .common import Table, fresh_path, in_slices, read_bytes, write_bytes
 LEAST, ARCHIVE_BYTES = 100, 64 << 20
 #: Copies of the list of repeated payloads that the rows of one payload are spread over.
 SALTS = 32
+#: Compressed bytes looked at in one go.
+STEP = 1 << 14
 VERSION, MEMBER = b"WARC/1.", b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -103,14 +105,17 @@ def parse_record(raw: bytes, at: int = 0) -> tuple[Record, int] | str:
 
 def _member(raw: bytes, at: int) -> tuple[list[Record], int] | str:
     """Records of the gzip member at a position, all of which must be whole."""
-    unzip = zlib.decompressobj(31)
+    unzip, parts, end, view = zlib.decompressobj(31), [], at, memoryview(raw)
     try:
-        plain = unzip.decompress(memoryview(raw)[at:])
+        while not unzip.eof and end < len(raw):  # in steps, since what follows the member is copied
+            parts.append(unzip.decompress(view[end:end + STEP]))
+            end += STEP
     except zlib.error as e:
         return f"damaged member: {str(e)[:60]}"
     if not unzip.eof:
         return "unfinished member"
-    end = len(raw) - len(unzip.unused_data)
+    end = min(end, len(raw)) - len(unzip.unused_data)
+    plain = b"".join(parts)
     records, inside = [], 0
     while inside < len(plain):
         got = parse_record(plain, inside)

@@ -30,3 +30,18 @@ def turned(x: Column, y: Column, rot: Column, width: Column, height: Column) ->
         F.when(rot == 1, height - 1 - y).when(rot == 2, width - 1 - x).when(rot == 3, y).otherwise(x),
         F.when(rot == 1, x).when(rot == 2, height - 1 - y).when(rot == 3, width - 1 - x).otherwise(y),
     )
+
+
+def skew_corners(edges: DataFrame) -> list[Column]:
+    """Four corners of skewed content from where its first row and first column begin, counted within its extent.
+
+    edges: width, height, first_x, first_y, last_x, last_y: first valid places from the start and, reversed, from the end.
+    Upright content (either first place is zero) has its extent's corners. Eight columns, x and y in turn.
+    """
+    w, h = F.col("width") - 1, F.col("height") - 1
+    fx, fy, lx, ly = (F.col(c) for c in ("first_x", "first_y", "last_x", "last_y"))
+    zero = F.lit(0)
+    upright = [zero, zero, zero, h, w, h, w, zero]
+    right = [zero, fy, w - lx, zero, w, h - fy, lx, h]
+    left = [fx, zero, w, ly, w - fx, h, zero, h - ly]
+    return [F.when((fx == 0) | (fy == 0), u).when(fx > fy, r).otherwise(v) for u, r, v in zip(upright, right, left, strict=True)]

@@ -45,3 +45,13 @@ def skew_corners(edges: DataFrame) -> list[Column]:
     right = [zero, fy, w - lx, zero, w, h - fy, lx, h]
     left = [fx, zero, w, ly, w - fx, h, zero, h - ly]
     return [F.when((fx == 0) | (fy == 0), u).when(fx > fy, r).otherwise(v) for u, r, v in zip(upright, right, left, strict=True)]
+
+
+def placed(wanted: DataFrame, tiles: DataFrame, keys: list[str], size: int = 256, missing: float = 0.0) -> DataFrame:
+    """Mosaic of map tiles: keys, x, y, px, py and value of every wanted tile, `missing` where none was fetched.
+
+    wanted: keys, x, y; tiles: x, y, value. px, py: place in the mosaic of the key's tiles.
+    """
+    first = wanted.groupBy(*keys).agg(F.min("x").alias("__x"), F.min("y").alias("__y"))
+    out = wanted.join(tiles, ["x", "y"], "left").join(first, keys)
+    return out.select(*keys, "x", "y", ((F.col("x") - F.col("__x")) * size).alias("px"), ((F.col("y") - F.col("__y")) * size).alias("py"), F.coalesce("value", F.lit(missing)).alias("value"))

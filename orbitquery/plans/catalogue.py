@@ -624,6 +624,51 @@ def missing_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.missing_tiles(wanted, wanted.where("(x + y) % 3 = 0"))
 
 
+@query("""WITH w AS (SELECT e.event_id % 20 AS area, e.event_id % 13 AS x, e.event_id % 11 AS y FROM events e WHERE event_id < 400), d AS (SELECT DISTINCT area, x, y FROM w),
+t AS (SELECT DISTINCT x, y, (x * 3 + y) / 2 AS value FROM d WHERE (x + y) % 4 <> 0), f AS (SELECT area, min(x) AS mx, min(y) AS my FROM d GROUP BY area)
+SELECT d.area, d.x, d.y, (d.x - mx) * 256 AS px, (d.y - my) * 256 AS py, coalesce(value, 0) AS value FROM d JOIN f ON f.area = d.area LEFT JOIN t ON t.x = d.x AND t.y = d.y""")
+def tile_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = fx.table(spark, sf_dir, "events").where("event_id < 400").selectExpr("event_id % 20 AS area", "event_id % 13 AS x", "event_id % 11 AS y").distinct()
+    fetched = wanted.where("(x + y) % 4 <> 0").selectExpr("x", "y", "(x * 3 + y) / 2D AS value").distinct()
+    return raster.placed(wanted, fetched, ["area"])
+
+
+@query(f"""{with_sql('chips', 'boxes')} SELECT chip_id, CAST(x0 AS DOUBLE) AS g0, 80.0::DOUBLE / width AS g1, CAST(y1 AS DOUBLE) AS g3, -(60.0::DOUBLE / height) AS g5 FROM chips JOIN boxes ON id = chip_id""")
+def chip_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.chips(spark, sf_dir).join(fx.boxes(spark, sf_dir), F.col("id") == F.col("chip_id"))
+    gt = affine.chip_transform([F.col(c).cast("double") for c in spatial.BOX], F.col("width"), F.col("height"))
+    return rows.select("chip_id", *[gt[k].alias(f"g{k}") for k in (0, 1, 3, 5)])
+
+
+@query("""SELECT x, y, c, round(CASE c % 4 WHEN 0 THEN sin((x + 1) * exp(-2.0::DOUBLE * (c // 4))) WHEN 1 THEN cos((x + 1) * exp(-2.0::DOUBLE * (c // 4))) WHEN 2 THEN sin((y + 1) * exp(-2.0::DOUBLE * (c // 4))) ELSE cos((y + 1) * exp(-2.0::DOUBLE * (c // 4))) END, 6) + 0.0 AS pe
+FROM (SELECT CAST(vec_id % 10 AS INTEGER) AS x, CAST(vec_id // 10 AS INTEGER) AS y FROM embeddings WHERE vec_id < 100), (SELECT CAST(unnest(range(16)) AS INTEGER) AS c)""")
+def position_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fx.table(spark, sf_dir, "embeddings").where("vec_id < 100").selectExpr("CAST(vec_id % 10 AS INT) AS x", "CAST(vec_id div 10 AS INT) AS y")
+    cells = cells.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    return _round(cells.withColumn("pe", matching.position_encoding(F.col("x"), F.col("y"), F.col("c"))), "pe")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 10 BETWEEN 2 AND label % 5 + 4 - 1 AND vec_id // 10 BETWEEN 2 AND 40 - 2 - 1")
+def masked_border(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = fx.table(spark, sf_dir, "embeddings")
+    return v.where(matching.off_padding(F.col("vec_id"), 10, F.col("label") % 5 + 6, F.lit(40))).select("vec_id")
+
+
+@query(f"""{with_sql('chips')} SELECT chip_id, p_partkey AS crop_id FROM chips JOIN part ON replace(name, '.png', '') = p_partkey || '_SAT_' || lpad((44 + p_size * 3)::VARCHAR, 3, '0') WHERE p_partkey % 2 = 0""")
+def crop_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base-map crops meet their chips by name, whatever the extension."""
+    chips = fx.chips(spark, sf_dir).select("chip_id", names.stem(F.col("name")).alias("stem"))
+    crops = fx.chips(spark, sf_dir).where("chip_id % 2 = 0").select(F.col("chip_id").alias("crop_id"), names.stem(F.concat(names.stem(F.col("name")), F.lit(".tif"))).alias("stem"))
+    return chips.join(crops, "stem").select("chip_id", "crop_id")
+
+
+@query(f"""{with_sql('lonlat')} SELECT event_id, CAST(round_even(1000.0::DOUBLE * (event_id % 97 + 1) / (40075016.68557849::DOUBLE / pow(2, 14) / 256), 0) AS INTEGER) AS width FROM lonlat""")
+def area_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels across an area in metres at a zoom."""
+    metres = (F.col("event_id") % 97 + 1) * 1000.0
+    return fx.lonlat(spark, sf_dir).select("event_id", F.rint(metres / mercator.ground_resolution(F.lit(14))).cast("int").alias("width"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank the base tiles of each query by descriptor, then route their quads."""
     base = fx.table(spark, sf_dir, "embeddings")

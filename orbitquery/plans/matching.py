@@ -36,9 +36,8 @@ def coarse_matches(candidates: DataFrame, chip_cells: DataFrame, tile_cells: Dat
     left = pairs.join(chip_cells, "query_id").select(F.struct("query_id", "tile_id", "rot").alias("pair"), "i", "v")
     right = pairs.join(chip_cells.select("query_id", "rot").distinct(), "query_id").join(tile_cells, "tile_id").select(F.struct("query_id", "tile_id", "rot").alias("pair"), "j", "v")
     conf = matching.double_softmax(matching.similarities(left, right, "pair"), "pair", s.temperature)
-    # The border goes before the search for mutual neighbours, after the softmax saw all cells.
-    inner = conf.where(matching.off_border(F.col("i"), columns, rows, s.border) & matching.off_border(F.col("j"), columns, rows, s.border))
-    found = matching.mutual_nearest(inner, "pair", s.match_threshold)
+    inside = matching.off_border(F.col("i"), columns, rows, s.border) & matching.off_border(F.col("j"), columns, rows, s.border)
+    found = matching.mutual_nearest(conf, "pair", s.match_threshold, inside)
     (x0, y0), (x1, y1) = (matching.cell_to_pixel(F.col(c), columns, scale) for c in "ij")
     return found.select("pair.*", *[v.cast("double").alias(n) for v, n in zip((x0, y0, x1, y1), ("x0", "y0", "x1", "y1"), strict=True)], "conf")
 

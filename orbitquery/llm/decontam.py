@@ -16,6 +16,7 @@ shards, each searched by all documents.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, map_rows
+from .common import Table, map_rows, resident
 
 SHINGLE, CONTAINED = 5, 0.8
 #: Words of a passage and of an index segment; a passage moves on by half, so each segment fits in one whole.
@@ -200,8 +201,10 @@ def _search(texts: DataFrame, shared, threshold: float, contained: float, part:
     names = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("n_shingles", pa.int64()), ("n_found", pa.int64()),
              ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]
 
+    stamp = uuid.uuid4().hex
+
     def make():
-        index = Index(*shared.value)
+        index = resident(("bm25", stamp), lambda: Index(*shared.value))
         number = index.term.get
 
         def step(batch: pa.RecordBatch):

@@ -41,9 +41,12 @@ def tile_grid(scenes: DataFrame, width: str = "width", height: str = "height", c
 def sequential_ids(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
     """Numbers 0, 1, ... in the given order without sorting everything in one task.
 
-    Rows are range-partitioned; only a count for each partition comes to the driver.
+    Rows are range-partitioned; only a count for each partition comes to the driver.  The
+    number of partitions is given, so adaptive execution cannot merge them differently
+    when they are counted and when they are numbered.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
     counts = {r["__part"]: r["count"] for r in ordered.groupBy("__part").count().collect()}
     before, total = {}, 0
     for part in sorted(counts):

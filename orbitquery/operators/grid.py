@@ -38,23 +38,30 @@ def tile_grid(scenes: DataFrame, width: str = "width", height: str = "height", c
     return scenes.withColumn("cut", size.cast("int")).withColumn("stx", F.explode(xs)).withColumn("sty", F.explode(ys))
 
 
-def sequential_ids(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
+def sequential_ids(df: DataFrame, order: Sequence[str], name: str = "id", rows: int = 100_000) -> DataFrame:
     """Numbers 0, 1, ... in the given order without sorting everything in one task.
 
-    Rows are range-partitioned; only a count for each partition comes to the driver.  The
-    number of partitions is given, so adaptive execution cannot merge them differently
-    when they are counted and when they are numbered.
+    A sample drawn by hash gives bounds between parts of about `rows` rows; bounds and a
+    count for each part come to the driver.  Since parts are told by value, not by
+    physical partition, counting and numbering always agree.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    counts = {r["__part"]: r["count"] for r in ordered.groupBy("__part").count().collect()}
+    schema = df.select(*order).schema
+    parts = max(1, -(-df.count() // rows))
+    # About 50 sample rows for each part.
+    drawn = [] if parts == 1 else df.where(F.pmod(F.xxhash64(*order), F.lit(max(1, rows // 50))) == 0).select(*order).orderBy(*order).collect()
+    cuts = [drawn[len(drawn) * k // parts] for k in range(1, parts)] if drawn else []
+    bounds = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields, strict=True)]) for row in dict.fromkeys(cuts)]
+    here = F.struct(*order)
+    part = F.size(F.filter(F.array(*bounds), lambda b: b <= here)) if bounds else F.lit(0)
+    told = df.withColumn("__part", part)
+    counts = {r["__part"]: r["count"] for r in told.groupBy("__part").count().collect()}
     before, total = {}, 0
-    for part in sorted(counts):
-        before[part] = total
-        total += counts[part]
+    for k in sorted(counts):
+        before[k] = total
+        total += counts[k]
     offsets = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return ordered.withColumn(name, (inside + F.element_at(offsets, F.col("__part"))).cast("long")).drop("__part")
+    return told.withColumn(name, (inside + F.element_at(offsets, F.col("__part"))).cast("long")).drop("__part")
 
 
 def with_levels(df: DataFrame, levels: Sequence[int], cut: int = CUT) -> DataFrame:

@@ -50,6 +50,9 @@ def test_grid_covers_the_axis(spark, n, cut):
 def test_sequential_ids_are_gapless(spark):
     df = grid.sequential_ids(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")), ["v"])
     assert all(r["id"] == r["v"] for r in df.collect())
+    some = spark.range(20_000).selectExpr("id % 3 AS a", "CAST(id * 7919 % 20011 AS STRING) AS b")
+    want = {tuple(r): k for k, r in enumerate(sorted(some.collect()))}
+    assert all(r["id"] == want[r["a"], r["b"]] for r in grid.sequential_ids(some, ["a", "b"], rows=1000).collect())
     assert grid.sequential_ids(spark.range(0).select(F.col("id").alias("v")), ["v"]).count() == 0
 
 

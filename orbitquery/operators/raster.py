@@ -32,6 +32,12 @@ def turned(x: Column, y: Column, rot: Column, width: Column, height: Column) ->
     )
 
 
+def footprint_cells(pixels: DataFrame, keys: list[str], size: int, nodata: float = 0.0) -> DataFrame:
+    """keys, cx, cy, n: cells of a raster with valid pixels, and how many. Parts of the footprint that touch share an edge of cells."""
+    valid = pixels.where(F.col("value") != nodata)
+    return valid.groupBy(*keys, F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")).agg(F.count("*").alias("n"))
+
+
 def skew_corners(edges: DataFrame) -> list[Column]:
     """Four corners of skewed content from where its first row and first column begin, counted within its extent.
 

@@ -11,6 +11,7 @@ from ..functions import affine, mercator, names, quad, vector
 from ..operators import grid, homography, matching, raster, search, selection, sizes, spatial
 from ..sources import files, geojson, sinks
 from . import fixtures as fx
+from . import matching as plan
 from .fixtures import with_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -669,6 +670,27 @@ def area_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.lonlat(spark, sf_dir).select("event_id", F.rint(metres / mercator.ground_resolution(F.lit(14))).cast("int").alias("width"))
 
 
+@query(f"{with_sql('pixels')} SELECT img, x // 8 AS cx, y // 8 AS cy, count(*) AS n FROM pixels WHERE value <> 0 GROUP BY 1, 2, 3")
+def footprint_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.footprint_cells(fx.pixels(spark, sf_dir), ["img"], 8)
+
+
+@query("""WITH q AS (SELECT s_suppkey AS query_id, CAST(s_suppkey % 5 AS INTEGER) AS level FROM supplier WHERE s_suppkey % 20 = 0), t AS (SELECT p_partkey AS tile_id, CAST(p_partkey % 5 AS INTEGER) AS level FROM part)
+SELECT query_id, tile_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tile_id) AS INTEGER) AS rank FROM q JOIN t USING (level)""")
+def every_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = fx.table(spark, sf_dir, "supplier").where("s_suppkey % 20 = 0").selectExpr("s_suppkey AS query_id", "CAST(s_suppkey % 5 AS INT) AS level")
+    return plan.without_retrieval(queries, fx.table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(p_partkey % 5 AS INT) AS level"))
+
+
+@query("""WITH l AS (SELECT s_suppkey AS id, s_nationkey AS scene, CAST(s_suppkey % 4 AS VARCHAR) AS before, CAST(s_suppkey % 3 AS VARCHAR) AS after FROM supplier)
+SELECT l.id, n_name AS scene_name, before || '-' || after AS change, CASE WHEN before = after THEN 0 ELSE 1 END AS output FROM l JOIN nation ON n_nationkey = scene""")
+def change_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a change layer with the scene that they belong to."""
+    layer = fx.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_nationkey AS n_nationkey", "CAST(s_suppkey % 4 AS STRING) AS before", "CAST(s_suppkey % 3 AS STRING) AS after")
+    rows = layer.join(fx.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("scene_name")), "n_nationkey")
+    return rows.select("id", "scene_name", F.concat_ws("-", "before", "after").alias("change"), F.when(F.col("before") == F.col("after"), 0).otherwise(1).alias("output"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank the base tiles of each query by descriptor, then route their quads."""
     base = fx.table(spark, sf_dir, "embeddings")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import affine, quad
@@ -26,6 +26,16 @@ def base_tiles(scenes: DataFrame, settings: Settings | None = None) -> DataFrame
     return grid.sequential_ids(tiles.select("level", "scene_id", "stx", "sty", "cut"), ["level", "scene_id", "stx", "sty"])
 
 
+def without_retrieval(queries: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Every tile of a query's level as a candidate, in id order: for small bases, or where descriptors are missing.
+
+    queries: query_id, level; tiles: id, level. The pairs are the product within a level, by an equi-join.
+    """
+    order = Window.partitionBy("query_id").orderBy("tile_id")
+    pairs = queries.select("query_id", "level").join(tiles.select(F.col("id").alias("tile_id"), "level"), "level")
+    return pairs.select("query_id", "tile_id", F.row_number().over(order).alias("rank"))
+
+
 def coarse_matches(candidates: DataFrame, chip_cells: DataFrame, tile_cells: DataFrame, columns: int, rows: int, scale: float, settings: Settings | None = None) -> DataFrame:
     """Correspondences (query_id, tile_id, rot, x0, y0, x1, y1, conf) of candidate pairs in all rotations that chip_cells has.
 

@@ -82,8 +82,20 @@ def in_slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch
         yield batch.slice(at, rows)
 
 
+#: Bytes of an Arrow batch of texts; the default is for narrow rows.
+BATCH_BYTES, _BYTES_KEY, _DEFAULT_BYTES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session already has its own bound: both sides of the pipe hold one."""
+    now = spark.conf.get(_BYTES_KEY, None)
+    if now and now.rstrip("b").isdigit() and int(now.rstrip("b")) == _DEFAULT_BYTES:
+        spark.conf.set(_BYTES_KEY, f"{BATCH_BYTES}b")
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow with per-task state: make() runs once in each task and returns the batch function."""
+    small_batches(df.sparkSession)
 
     def run(batches):
         step = make()

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, fresh_path, in_slices, read_bytes, write_bytes
+from .common import Table, fresh_path, in_slices, read_bytes, small_batches, write_bytes
 
 #: Payloads below this are never revisited; an archive is closed at this many bytes.
 LEAST, ARCHIVE_BYTES = 100, 64 << 20
@@ -176,6 +176,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, compress: bool =
     the headers; repeated rows are written each.  Rows that share a payload's smallest
     page_id are all responses.
     """
+    small_batches(pages.sparkSession)
     folder = folder or fresh_path(pages.sparkSession, "warc")
 
     def run(batches):

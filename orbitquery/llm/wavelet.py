@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, doc_text, fresh_path, in_slices, read_bytes, write_bytes
+from .common import Table, doc_text, fresh_path, in_slices, read_bytes, small_batches, write_bytes
 from .subwords import encoder
 
 MAGIC = b"OQWM0001"
@@ -185,6 +185,7 @@ def write_token_shards(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", e
     hold ascending doc_ids.  A null text is empty; repeated rows are written each time.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or fresh_path(spark, "tokens")
 
     def run(batches):

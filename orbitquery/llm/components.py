@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import Table
 
 
+#: Rows of contracted links that one task may join up: some tens of MB.
+ALONE = 500_000
+
+
 class Forest:
     """Union-find over whatever integers it meets; the smaller root stays."""
 
@@ -66,27 +70,34 @@ def _mark(df: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, alone: int = ALONE) -> DataFrame:
     """(node, root) for every node with a link, root the smallest node of its component; roots themselves are left out.
 
-    links: two bigint columns.  Alternates large-star and small-star steps; each step
-    takes a minimum per node (combined before the shuffle) and joins it back from a
-    written table, so that adaptive execution can split a node with very many links.
-    Rounds grow with the logarithm of the longest chain.
+    links: two bigint columns.  Partitions are contracted first.  Up to `alone` rows that
+    are left, which fit a task whatever the input, are joined up by one more such step.
+    More of them alternate large-star and small-star steps; each takes a minimum per node
+    (combined before the shuffle) and joins it back from a written table, so that adaptive
+    execution can split a node with very many links.  Rounds grow with the logarithm of
+    the longest chain.
     """
     a, b = links.columns
-    ordered = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root"))
-    now = Table(ordered.mapInArrow(_contract, "node long, root long"), "links")
+    # Written before they are contracted: two Python steps in one stage would hold two workers for each task.
+    given = Table(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")), "given")
+    now = Table(given.df.mapInArrow(_contract, "node long, root long"), "links")
+    given.drop()
     mark = _mark(now.df)
-    while mark[0]:
+    if mark[0] <= alone:
+        done = Table(now.df.coalesce(1).mapInArrow(_contract, "node long, root long"), "roots")
+        now.drop()
+        return done.df
+    while True:
         after = _small_star(_large_star(now))
         new = _mark(after.df)
         now.drop()
         now = after
         if new == mark:
-            break
+            return now.df
         mark = new
-    return now.df
 
 
 def _large_star(now: Table) -> Table:

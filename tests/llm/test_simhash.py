@@ -63,9 +63,12 @@ def test_crowded_cells_are_dealt_exactly(spark):
 
 def test_components_of_chains_and_stars(spark):
     pairs = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 200), (7, 7)]
-    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     want = components(pairs, {x for p in pairs for x in p})
-    assert got == {n: r for n, r in want.items() if n != r}
+    for alone in (500_000, 0):  # in one task, and by star steps
+        links = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+        got = {r["node"]: r["root"] for r in connected_components(links, alone).collect()}
+        assert got == {n: r for n, r in want.items() if n != r}
+    assert connected_components(spark.createDataFrame([], "a long, b long"), 0).count() == 0
 
 
 def test_awkward_documents(awkward, nothing):

@@ -277,7 +277,8 @@ def duplicate_groups(docs: DataFrame, width: int = 3, distance: int = 11, segmen
         return step
 
     # A doc_id that repeats has one set: that of its smallest text.
-    chosen = map_rows(texts.join(members, "doc_id", "left_semi"), sets, "rep long, hashes binary")
+    # Merge joins at every size: the ids grow with the corpus, so a broadcast that fits today would not tomorrow.
+    chosen = map_rows(texts.join(members.hint("merge"), "doc_id", "left_semi"), sets, "rep long, hashes binary")
     hashed = Table(chosen.groupBy("rep").agg(F.min("hashes").alias("hashes")), "sets").df
     roots = connected_components(_similar(pairs, hashed, similarity))
     grouped = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", "sum", F.coalesce("root", "rep").alias("group_id"))
@@ -293,7 +294,7 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     """
     groups = Table(duplicate_groups(docs, **options), "groups").df
     dropped = Table(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("__drop")).distinct(), "dropped").df
-    kept = docs.join(dropped, F.col("doc_id").cast("long") == F.col("__drop"), "left_anti")
+    kept = docs.join(dropped.hint("merge"), F.col("doc_id").cast("long") == F.col("__drop"), "left_anti")
     twice = Table(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), "twice").df
     if twice.isEmpty():
         return kept

@@ -17,7 +17,7 @@ from array import array
 from .common import resident
 
 #: Most entries that a worker keeps; a full cache starts anew, results stay the same.
-STRETCHES, PIECES = 120_000, 250_000
+STRETCHES, PIECES = 200_000, 450_000
 
 
 def vocabulary_path(name: str) -> str:

@@ -108,3 +108,26 @@ def test_verified_groups(spark, awkward, nothing):
     assert simhash.keep_first(nothing).count() == 0
     twice = spark.createDataFrame([(3, "alpha beta gamma delta epsilon zeta"), (3, "alpha beta gamma delta epsilon zeta"), (4, "other words that stand here alone")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_first(twice).collect()) == [3, 4]
+
+
+def groups_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = range(len(texts))
+    pairs = [(a, b) for a in ids for b in ids if a < b and jaccard(texts[a], texts[b])]
+    return {r["doc_id"]: r["group_id"] for r in simhash.duplicate_groups(docs).collect()}, components(pairs, ids)
+
+
+def test_a_lighter_proposal_displaces_no_similar_pair(spark):
+    """Revisions of one text that differ among themselves; the original is the last document."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(200)]
+        for _ in range(6):
+            parts = list(base)
+            for at in rng.sample(range(0, 200, 6), 4):
+                parts[at] = f"new{rng.randint(0, 9999)}"
+            texts.append(" ".join(parts))
+        texts.append(" ".join(base))
+    got, want = groups_of(spark, texts)
+    assert len(set(want.values())) == 12 and got == want

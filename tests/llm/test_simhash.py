@@ -131,3 +131,16 @@ def test_a_lighter_proposal_displaces_no_similar_pair(spark):
         texts.append(" ".join(base))
     got, want = groups_of(spark, texts)
     assert len(set(want.values())) == 12 and got == want
+
+
+def test_similar_pairs_beyond_the_distance(spark):
+    """Copies shortened to a similarity of 0.8 to 0.85, as far apart as their fingerprints may be."""
+    rng = random.Random(6)
+    texts, far = [], 0
+    for _ in range(60):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(200)]
+        a, b = " ".join(base), " ".join(base[: rng.randint(161, 170)])
+        texts += [a, b]
+        far += (plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() > 11
+    got, want = groups_of(spark, texts)
+    assert far >= 3 and len(set(want.values())) == 60 and got == want

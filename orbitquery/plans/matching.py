@@ -68,8 +68,11 @@ def verified(matches: DataFrame, width: int, height: int, settings: Settings | N
 
 
 def locate(base: DataFrame, queries: DataFrame, chip_cells: DataFrame, tile_cells: DataFrame, size: tuple[int, int], cells: tuple[int, int], solved: DataFrame | None = None,
-           top: int = 64, batch: int = 16, settings: Settings | None = None, save: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """The first verified candidate of each query not in `solved`, by rank and then rotation."""
+           top: int | None = None, batch: int = 16, settings: Settings | None = None, save: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """The first verified candidate of each query not in `solved`, by rank and then rotation.
+
+    All tiles are candidates; only a `top` that is given ends the search at that rank.
+    """
     s = settings or Settings()
     asked = queries if solved is None else selection.pending(queries, solved.select(F.col("query_id").alias("vec_id")), ["vec_id"])
     ranked = search.rank_tiles(base, asked, k=top)

@@ -44,6 +44,16 @@ def test_planted_chip_is_located(spark):
     assert again.count() == 0
 
 
+def test_every_rank_is_verified(spark, monkeypatch):
+    """The only tile that passes is the farthest of 70."""
+    base = spark.createDataFrame([(t, [1.0, t / 10]) for t in range(70)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(100, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(matching, "coarse_matches", lambda some, *rest: some)
+    monkeypatch.setattr(matching, "verified", lambda some, *rest: some.where("tile_id = 69").selectExpr("query_id", "tile_id", "0 AS rot"))
+    got = matching.locate(base, asked, None, None, (96, 96), (12, 12)).collect()
+    assert [(r["query_id"], r["tile_id"], r["rank"]) for r in got] == [(100, 69, 70)]
+
+
 def test_report_and_skewed_corners(spark):
     rows = spark.createDataFrame([("a", 0.95, *map(float, range(8))), ("b", 0.5, *map(float, range(8)))], "name string, score double, " + ", ".join(f"c{k} double" for k in range(8)))
     assert [r["line"] for r in matching.report(rows, [f"c{k}" for k in range(8)]).collect()] == ["a " + " ".join(f"{k}.0000000" for k in range(8))]

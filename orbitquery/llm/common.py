@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,16 @@ def in_slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch
         yield batch.slice(at, rows)
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices whose strings hold about `most` bytes together; a longer one is alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at, total = 0, np.cumsum(lengths + 32)
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 #: Bytes of an Arrow batch of texts; the default is for narrow rows.
 BATCH_BYTES, _BYTES_KEY, _DEFAULT_BYTES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, doc_text, map_rows
+from .common import Table, by_bytes, doc_text, small_batches
 from .subwords import encoder
 
 #: Pieces that one task packs.  A task leaves one partly filled sequence or so, so the waste is about 1 in 5,000.
@@ -68,27 +68,30 @@ def pack_vectors(lengths: np.ndarray, capacity: int, max_docs: int | None = None
 
 def cut_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = 4096, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids as little-endian 32-bit bytes, if kept)."""
-    step_bytes = 4 * capacity
-
-    def make():
-        tokens, end = encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tokens.encode(text or "") + end
-                for k, at in enumerate(range(0, len(ids), step_bytes)):
-                    part = ids[at:at + step_bytes]
-                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-            kinds += [("ids", pa.binary())] if keep_ids else []
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=False)], [k for k, _ in kinds])
-
-        return step
+    def run(batches):
+        tokens = encoder(vocabulary)
+        for batch in batches:
+            for few in by_bytes(batch, 1):
+                ids, ends = tokens.encode_column(few.column(1), end_id)
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                sizes = np.diff(ends, prepend=0)
+                pieces = -(-sizes // capacity)
+                who = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(who)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[who] - start)
+                begin = 4 * ((ends - sizes)[who] + start)
+                spans = list(zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True))
+                arrays = [few.column(0).take(pa.array(who)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array([zlib.crc32(raw[a:b]) for a, b in spans], pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if keep_ids:
+                    arrays, names = [*arrays, pa.array([bytes(raw[a:b]) for a, b in spans], pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+        pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
-    return map_rows(doc_text(docs), make, schema)
+    small_batches(docs.sparkSession)
+    return doc_text(docs).mapInArrow(run, schema)
 
 
 def best_fit_pack(pieces: DataFrame, capacity: int = 4096, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm") -> DataFrame:

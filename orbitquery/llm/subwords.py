@@ -1,10 +1,11 @@
 """Exact library encodings assembled from cached pre-tokens.
 
 Both vocabularies merge inside pre-tokens only, so the ids of a text are those of
-its space-separated stretches, one after the other.  A stretch is encoded by the
-tokenizers library once and kept; a text then costs one split and one lookup per
-stretch.  Texts where stretches could interact (special strings, odd control
-characters) go to the library whole.
+its space-separated stretches, one after the other.  A batch of texts is split and
+dictionary-encoded by Arrow, each distinct stretch is encoded by the tokenizers
+library once and kept, and the ids of all texts are gathered in one step.  Texts
+where stretches could interact (special strings, odd control characters) go to the
+library whole.
 """
 
 from __future__ import annotations
@@ -14,10 +15,14 @@ import re
 import sys
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from .common import resident
 
-#: Most entries that a worker keeps; a full cache starts anew, results stay the same.
-STRETCHES, PIECES = 200_000, 450_000
+#: Entries of a generation of kept stretches; a worker holds two at most, results do not depend on it.
+STRETCHES = 400_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -29,17 +34,34 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Memo(dict):
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value
-        return value
+class Memo:
+    """Kept results in two generations: when the younger is full the elder goes, and what is used again moves up."""
+
+    def __init__(self, make_all, most: int):
+        self.make_all, self.most = make_all, most
+        self.young: dict = {}
+        self.elder: dict = {}
+
+    def __call__(self, key):
+        value = self.young.get(key)
+        return self.many([key])[0] if value is None else value
+
+    def many(self, keys: list) -> list:
+        """Results of distinct keys."""
+        found = list(map(self.young.get, keys))
+        if None not in found:
+            return found
+        absent = [k for k, v in enumerate(found) if v is None]
+        wanted = [keys[k] for k in absent]
+        old = list(map(self.elder.get, wanted))
+        made = iter(self.make_all([k for k, v in zip(wanted, old, strict=True) if v is None]))
+        old = [next(made) if v is None else v for v in old]
+        if len(self.young) + len(wanted) > self.most:
+            self.elder, self.young = self.young, {}
+        self.young.update(zip(wanted, old, strict=True))
+        for k, v in zip(absent, old, strict=True):
+            found[k] = v
+        return found
 
 
 #: Pre-token patterns of the two kinds of vocabulary that can be taken apart.
@@ -64,6 +86,11 @@ def _little(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def blank_free(words: pa.Array) -> list[str]:
+    """The strings of an array, none of which holds a blank: much faster than one by one."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py().split(" ") if len(words) else []
+
+
 class CachedEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit bytes."""
 
@@ -82,9 +109,9 @@ class CachedEncoder:
         self.split = regex.compile(split).findall
         self.split_ascii = re.compile(_ascii(split)).findall
         self.names = _byte_names()
-        self.pieces = _Memo(self._piece, PIECES)
-        self.first = _Memo(self._stretch, 10_000)
-        self.rest = _Memo(lambda s: self._stretch(self.blank + s), STRETCHES)
+        self.first = Memo(lambda some: [self._stretch(s) for s in some], 10_000)
+        #: By stretch without its leading blank.
+        self.rest = Memo(lambda some: [self._behind_blank(s) for s in some], STRETCHES)
 
     def _recognised(self) -> str:
         """"byte" or "word" for the set-ups whose stretches are known to be independent, else ""."""
@@ -106,8 +133,33 @@ class CachedEncoder:
             named = word if word is piece else _BLANK_NAME + word
         else:
             named = piece.encode().decode("latin-1").translate(self.names)
+        return self._ids(named)
+
+    def _ids(self, named: str) -> bytes:
         return _little([t.id for t in self.model.tokenize(named)])
 
+    def _word(self, letters: str) -> bytes:
+        """A word of known letters, which is one pre-token."""
+        if not self.blank:
+            letters = letters.lower()
+        if letters.isascii():
+            return self._ids(_BLANK_NAME + letters if self.blank else letters)
+        return self._ids((self.blank + letters).encode().decode("latin-1").translate(self.names))
+
+    def _behind_blank(self, stretch: str) -> bytes:
+        if stretch.isascii() or _LATIN.match(stretch):
+            if stretch.isalpha():
+                return self._word(stretch)
+            if stretch[-1:] in _MARKS and stretch[:-1].isalpha():
+                return self.rest(stretch[:-1]) + self._part(stretch[-1])
+        return self._stretch(self.blank + stretch)
+
+    def _part(self, piece: str) -> bytes:
+        """A pre-token of a longer stretch: kept with the stretches if it would be the same by itself."""
+        if not self.blank:
+            return self.rest(piece)
+        return self.rest(piece[1:]) if piece[0] == " " and len(piece) > 1 else self.first(piece)
+
     def _stretch(self, stretch: str) -> bytes:
         if stretch.isascii():
             parts = self.split_ascii(stretch if self.blank else stretch.lower())
@@ -118,16 +170,54 @@ class CachedEncoder:
                 stretch = self.normalizer.normalize_str(stretch)
             named = [p for p, _ in self.splitter.pre_tokenize_str(stretch)]
             return _little([t.id for p in named for t in self.model.tokenize(p)])
-        return b"".join(map(self.pieces.__getitem__, parts))
+        if len(parts) == 1 and (parts[0] == stretch or not self.blank):
+            return self._piece(parts[0])
+        return b"".join(map(self._part, parts))
+
+    def _whole(self, text: str) -> bool:
+        """True if the library must see the text at once."""
+        return not self.kind or any(s in text for s in self.special) or _CONTROL.search(text) is not None
 
     def encode(self, text: str) -> bytes:
-        if not self.kind or any(s in text for s in self.special) or _CONTROL.search(text):
+        if self._whole(text):
             return _little(self.library.encode(text, add_special_tokens=False).ids)
         if self.blank and _ODD_BLANK.search(text):
             parts = _BEFORE_WORD.split(text)
         else:
             parts = text.split(" ")
-        return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
+        return self.first(parts[0]) + b"".join(map(self.rest, parts[1:]))
+
+    def encode_column(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with end_id behind it, and the position where each text ends (nulls are empty)."""
+        plain = texts.fill_null("")
+        listed = plain.to_pylist()
+        odd = [k for k, t in enumerate(listed) if self._whole(t) or (self.blank and _ODD_BLANK.search(t) is not None)]
+        alone = [self.encode(listed[k]) for k in odd]
+        if odd:
+            simple = np.ones(len(listed), dtype=bool)
+            simple[odd] = False
+            plain = pc.if_else(pa.array(simple), plain, "")
+        split = pc.split_pattern(plain, " ")
+        coded = split.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = np.diff(split.offsets.to_numpy())  # one stretch at least, even of an empty text
+        known = self.rest.many(blank_free(coded.dictionary))
+        starts = np.cumsum(n) - n
+        if self.blank:
+            firsts = [t.partition(" ")[0] for t in plain.to_pylist()]
+            codes[starts] = len(known) + np.arange(len(firsts))
+            known += list(map(self.first, firsts))
+        if odd:
+            codes[starts[odd]] = len(known) + np.arange(len(odd))
+            known += alone
+        # The end of a text is one more stretch.
+        order = np.full(len(codes) + len(n), len(known), dtype=np.int64)
+        order[np.arange(len(codes)) + np.repeat(np.arange(len(n)), n)] = codes
+        known.append(_little([end_id]))
+        taken = pa.array(known, pa.large_binary()).take(pa.array(order))  # copies ids stretch by stretch
+        _, offsets, data = taken.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int64, count=len(order) + 1)
+        return np.frombuffer(data, dtype="<u4", count=int(offsets[-1]) // 4), offsets[np.cumsum(n + 1)] // 4
 
 
 def _ascii(split: str) -> str:
@@ -136,6 +226,7 @@ def _ascii(split: str) -> str:
 
 
 _LATIN = re.compile("[\x00-\u012f\u0131-\u024f]*\\Z")
+_MARKS = (".", ",", ":", ";", "!", "?")
 _CONTROL = re.compile("[\x1c-\x1f]")
 _ODD_BLANK = re.compile(r" (?:\s|\Z)")
 _BEFORE_WORD = re.compile(r" (?=\S)")

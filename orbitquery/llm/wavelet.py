@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, doc_text, fresh_path, in_slices, read_bytes, small_batches, write_bytes
+from .common import Table, by_bytes, doc_text, fresh_path, read_bytes, small_batches, write_bytes
 from .subwords import encoder
 
 MAGIC = b"OQWM0001"
@@ -141,12 +141,12 @@ class WaveletMatrix:
         return now
 
 
-def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+def pack_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     matrix = WaveletMatrix.build(ids)
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     parts = [
         MAGIC, struct.pack("<QQI", len(doc_ids), matrix.n, matrix.bits),
-        np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(), known.tobytes(), np.array(lengths, dtype="<u8").tobytes(),
+        np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(), known.tobytes(), np.asarray(lengths, dtype="<u8").tobytes(),
     ]
     for zeros, ranks, plane in zip(matrix.zeros, matrix.ranks, matrix.planes, strict=True):
         parts += [struct.pack("<Q", zeros), ranks.tobytes(), plane.tobytes()]
@@ -189,32 +189,37 @@ def write_token_shards(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", e
     folder = folder or fresh_path(spark, "tokens")
 
     def run(batches):
-        tokens, part, seq = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
+        task = TaskContext.get()
+        tokens, part, seq = encoder(vocabulary), task.partitionId(), 0
         doc_ids, lengths, pieces, held = [], [], [], 0
 
         def close():
             nonlocal doc_ids, lengths, pieces, held, seq
-            path = f"{folder}/part-{part:06d}-{seq:06d}.oqwm"
-            write_bytes(path, pack_shard(doc_ids, lengths, np.frombuffer(b"".join(pieces), dtype="<u4")))
+            # The attempt is in the name: a task run twice never writes over what the manifest may name.
+            path = f"{folder}/part-{part:06d}-{seq:06d}-{task.taskAttemptId()}.oqwm"
+            write_bytes(path, pack_shard(doc_ids, np.concatenate(lengths), np.concatenate(pieces)))
             row = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [path], "n_docs": [len(doc_ids)], "n_tokens": [held]})
             doc_ids, lengths, pieces, held, seq = [], [], [], 0, seq + 1
             return row
 
         for batch in batches:
-            for few in in_slices(batch):
-                for doc_id, text in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True):
-                    ids = tokens.encode(text or "") + end
-                    doc_ids.append(doc_id)
-                    lengths.append(len(ids) // 4)
-                    pieces.append(ids)
-                    held += len(ids) // 4
+            for few in by_bytes(batch, 1):
+                ids, ends = tokens.encode_column(few.column(1), end_id)
+                names, at, done = few.column(0).to_pylist(), 0, 0
+                while at < len(names):  # up to the document that fills the shard
+                    stop = min(len(names), int(np.searchsorted(ends, done + SHARD_IDS - held, side="left")) + 1)
+                    doc_ids += names[at:stop]
+                    lengths.append(np.diff(ends[at:stop], prepend=done))
+                    pieces.append(ids[done:ends[stop - 1]].astype(np.uint32))
+                    held += int(ends[stop - 1]) - done
+                    at, done = stop, int(ends[stop - 1])
                     if held >= SHARD_IDS:
                         yield close()
         if doc_ids:
             yield close()
+        pa.default_memory_pool().release_unused()
 
-    ordered = doc_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = doc_text(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
     return Table(ordered.mapInArrow(run, "part long, seq long, path string, n_docs long, n_tokens long"), "manifest").df
 
 

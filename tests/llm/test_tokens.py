@@ -3,12 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers as tokenizers_of
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from orbitquery.llm import packing, tokencount, wavelet
-from orbitquery.llm.subwords import encoder
+from orbitquery.llm.subwords import Memo, encoder
 
 PARTS = ["a", "B", " ", "  ", "\n", "\t", "'s", "'S", "1", "é", "é", "\xa0", "\x85", "\x1c", "İ", "ß", "Σς", "<|endoftext|>", "<|startoftext|>", "!", "🙂", "　", "漢", "ﬁ", "\r\n", "٣", "_", "​", "▁", "<s>"]
 
@@ -30,6 +31,24 @@ def test_cached_ids_are_the_librarys(name):
         assert encoder(name).encode(text) == want, repr(text)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_a_column_are_the_librarys(name):
+    library = Tokenizer.from_file(tokenizers_of.path(name))
+    texts = [*odd_texts(400), None, "x" * 70_000, "Word, word. Über-Ärger' l'été WORD,"]
+    for some in (texts, [""], [None, "a"], []):
+        ids, ends = encoder(name).encode_column(pa.array(some, pa.string()), 7)
+        want = [library.encode(t or "", add_special_tokens=False).ids + [7] for t in some]
+        assert ids.tolist() == [x for line in want for x in line]
+        assert np.diff(ends, prepend=0).tolist() == [len(line) for line in want]
+
+
+def test_memo_keeps_what_is_used_again():
+    made = []
+    memo = Memo(lambda keys: [made.append(k) or k * 2 for k in keys], 3)
+    assert memo.many([1, 2, 3]) == [2, 4, 6] and memo(4) == 8 and memo(1) == 2
+    assert made == [1, 2, 3, 4] and memo.many([1, 4, 5, 6, 7]) == [2, 8, 10, 12, 14]
+
+
 def test_piece_counts_are_the_librarys():
     library = sentencepiece.SentencePieceProcessor(model_file=tokenizers_of.path("piece_bpe_32k.model"))
     count = tokencount.counter("piece_bpe_32k.model").count

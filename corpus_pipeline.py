@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitquery.llm import decontam, langid, packing, pii, simhash
+from orbitquery.llm import decontam, langid, neardup, packing, pii
 from orbitquery.llm.common import Table
 
 #: A document goes if no language is the likelier half of what its text may be, or it has no letter.
@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each group of exact and near copies."""
-    return simhash.keep_first(docs)
+    return neardup.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

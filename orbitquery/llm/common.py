@@ -141,5 +141,14 @@ def doc_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not use, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{stem}"
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def hex64(col: Column) -> Column:
     return F.lpad(F.lower(F.hex(col)), 16, "0")

@@ -26,8 +26,6 @@ from .components import connected_components, spanning
 
 #: Table rows of a cell that one block holds, and pairs compared at once.
 CELL, PAIRS = 4096, 2_000_000
-#: Texts of the sample that tells which word runs are common, and how many of these are kept.
-SAMPLE, COMMON = 20_000, 100_000
 SEED = 42
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -217,197 +215,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, segments
     named = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     named = Table(named, "named").df
     return prints.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The (a, b) pairs whose shingle sets have a Jaccard similarity of at least `least`."""
-    left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("left"))
-    right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if shared >= least * (len(x) + len(y) - shared):
-                    keep.append(k)
-            if keep:
-                yield batch.select(["a", "b"]).take(pa.array(keep))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def common_runs(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of word runs that several sampled texts have, in order, and their counts.
-
-    Only the order in which runs are looked up comes from them, so that cells of common
-    runs stay empty; what is found does not depend on the sample.
-    """
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    some = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20))
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            each = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64))], ["run"])
-
-        return step
-
-    counts = map_rows(some, make, "run long").groupBy("run").count().where("count > 1").orderBy(F.desc("count"), "run").limit(COMMON).toPandas()
-    runs = counts["run"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(runs)
-    return runs[order], counts["count"].to_numpy(np.int64)[order]
-
-
-def prefix(runs: np.ndarray, known: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """Of sorted distinct runs those that come first, uncommon ones before common ones.
-
-    Two sets with a Jaccard similarity of `least` or more share one of these, since each
-    leaves out fewer than it must share.
-    """
-    n = len(runs)
-    if not n:
-        return runs
-    if len(known):
-        at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-        runs = runs[np.argsort(np.where(known[at] == runs, counts[at], 0), kind="stable")]
-    return runs[: n - int(np.ceil(least * n - 1e-9)) + 1]
-
-
-def _meetings(run: np.ndarray, root: np.ndarray, rep: np.ndarray, n: np.ndarray, pos: np.ndarray, least: float):
-    """Pairs (a, b) of different roots that share a run and may be similar; rows come sorted by run and root.
-
-    Behind the first run that two sets share there are too few left if the pair can't be similar.
-    """
-    new = np.concatenate([[True], run[1:] != run[:-1]])
-    other = new | np.concatenate([[True], root[1:] != root[:-1]])
-    ends = [np.append(np.flatnonzero(x)[1:], len(run))[np.cumsum(x) - 1] for x in (new, other)]
-    times = ends[0] - ends[1]  # rows of the cell behind those of its own root
-    busy = np.flatnonzero(times)
-    done = np.cumsum(times[busy])
-    lo = 0
-    while lo < len(busy):
-        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + PAIRS, side="right")))
-        rows, many = busy[lo:hi], times[busy[lo:hi]]
-        left = np.repeat(rows, many)
-        right = ends[1][left] + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
-        need = least / (1 + least) * (n[left] + n[right]) - 1e-6
-        near = np.flatnonzero((np.minimum(n[left] - pos[left], n[right] - pos[right]) >= need) & (rep[left] != rep[right]))
-        if len(near):
-            a, b = rep[left[near]], rep[right[near]]
-            found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
-        lo = hi
-
-
-def shared_runs(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of rep numbers with different roots: all whose sets can have a Jaccard similarity of `least`.
-
-    rows: rep, root, n (size of the set) and runs (its prefix).
-    """
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            if not len(now[0]):
-                continue
-            cells = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cut = int(np.searchsorted(cells[0], cells[0][-1], side="left"))
-            if cut:
-                yield from _meetings(*[x[:cut] for x in cells], least)
-            held = [x[cut:] for x in cells]
-        if held is not None:
-            yield from _meetings(*held, least)
-
-    dealt = rows.select("rep", "root", "n", F.posexplode("runs").alias("pos", "run")).select("run", "root", "rep", "n", "pos")
-    return dealt.repartition("run").sortWithinPartitions("run", "root").mapInArrow(run, "a long, b long").distinct()
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> Table:
-    """The similar ones among pairs of doc_ids."""
-    members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            hashes = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], ["rep", "hashes"])
-
-        return step
-
-    # A doc_id that repeats has one set: that of its smallest text.
-    # Merge joins at every size: the ids grow with the corpus, so a broadcast that fits today would not tomorrow.
-    chosen = map_rows(texts.join(members.hint("merge"), "doc_id", "left_semi"), make, "rep long, hashes binary")
-    sets = Table(chosen.groupBy("rep").agg(F.min("hashes").alias("hashes")), "sets")
-    found = Table(_similar(pairs, sets.df, least), "similar")
-    sets.drop()
-    return found
-
-
-def duplicate_groups(docs: DataFrame, width: int = 3, distance: int = 11, segments: int = 4, shingle: int = 5, similarity: float = 0.8, most: int = CELL) -> DataFrame:
-    """(doc_id, group_id) of documents in groups of near-duplicates, group_id being the group's smallest doc_id.
-
-    Two texts are linked if their sets of `shingle`-word runs have a Jaccard similarity of
-    at least `similarity`; groups are what links connect, exactly.  Texts with the same
-    words in the same order are one node.  First, fingerprints (of `width` words) within
-    `distance` bits propose pairs, of which a spanning forest and each member against its
-    component's first document are verified: that joins most members of large groups.
-    Then all pairs that are still apart and share a run of their prefixes are verified, so
-    neither the distance nor the forest decides what is found.  Rows with a null doc_id
-    are in no group.
-    """
-    texts = doc_text(docs).where("doc_id is not null")
-    known = texts.sparkSession.sparkContext.broadcast(common_runs(texts, shingle))
-
-    def make():
-        import xxhash
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps, sums, sizes, firsts = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                fps.append(fingerprint(shingle_hashes(text, width)))
-                sums.append(int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words(text)), SEED)).astype(np.int64)))
-                runs = np.unique(shingle_hashes(text, shingle))
-                sizes.append(len(runs))
-                firsts.append(prefix(runs, *known.value, similarity).view(np.int64))
-            ends = np.cumsum([0] + [len(x) for x in firsts])
-            runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts)))
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.int64()), pa.array(sums, pa.int64()), pa.array(sizes, pa.int32()), runs], ["doc_id", "fp", "sum", "n", "runs"]
-            )
-
-        return step
-
-    prints = Table(map_rows(texts, make, "doc_id long, fp long, sum long, n int, runs array<long>"), "prints").df
-    nodes = Table(prints.groupBy("fp", "sum").agg(F.min("doc_id").alias("rep")), "nodes").df
-    links = Table(near_links(nodes.select("fp", "rep"), distance, segments, most).select("a", "b").distinct(), "near").df
-    proposed = connected_components(links)
-    pairs = Table(links.union(proposed.select(F.col("root").alias("a"), F.col("node").alias("b"))).distinct(), "pairs").df
-    sure = _confirmed(pairs, texts, shingle, similarity).df
-    roots = connected_components(sure)
-    named = nodes.join(roots.hint("merge"), nodes.rep == roots.node, "left").select("rep", F.coalesce("root", "rep").alias("root"))
-    rows = prints.join(named.hint("merge"), prints.doc_id == named.rep).select("rep", "root", "n", "runs")
-    apart = Table(shared_runs(rows, similarity), "apart").df
-    more = _confirmed(apart, texts, shingle, similarity).df
-    roots = connected_components(sure.union(more))
-    grouped = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", "sum", F.coalesce("root", "rep").alias("group_id"))
-    grouped = Table(grouped, "grouped").df
-    return prints.join(grouped, ["fp", "sum"]).select("doc_id", "group_id")
-
-
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without near-duplicates: of each group the row with the smallest doc_id stays.
-
-    Rows that repeat a doc_id are one document: the first of them (by text) stays.  Rows
-    with a null doc_id all stay.
-    """
-    groups = Table(duplicate_groups(docs, **options), "groups").df
-    dropped = Table(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("__drop")).distinct(), "dropped").df
-    kept = docs.join(dropped.hint("merge"), F.col("doc_id").cast("long") == F.col("__drop"), "left_anti")
-    twice = Table(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), "twice").df
-    if twice.isEmpty():
-        return kept
-    same = F.col("doc_id").cast("long") == F.col("__twice")
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").orderBy("doc_id", "text").dropDuplicates(["doc_id"]))

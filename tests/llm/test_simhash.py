@@ -79,68 +79,3 @@ def test_awkward_documents(awkward, nothing):
     assert len(got) == 13 and by[2] == by[3] == by[4] == {("0" * 16, 2)}
     assert {c for _, c in by[7] | by[11] | by[1]} == {1} and by[None].pop()[1] is None
     assert simhash.near_duplicates(nothing).count() == 0
-
-
-def jaccard(a, b):
-    a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
-    return len(a & b) >= 0.8 * len(a | b)
-
-
-def test_verified_groups(spark, awkward, nothing):
-    rng = random.Random(9)
-    base = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 400)) for _ in range(120)) for _ in range(8)]
-    texts = []
-    for t in base:
-        for edits in (0, 0, 1, 2, 9):
-            parts = t.split()
-            for _ in range(edits):
-                parts[rng.randrange(len(parts))] = f"new{rng.randint(0, 99)}"
-            texts.append(" ".join(parts))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    ids = range(len(texts))
-    want = components([(a, b) for a in ids for b in ids if a < b and jaccard(texts[a], texts[b])], ids)
-    assert {r["doc_id"]: r["group_id"] for r in simhash.duplicate_groups(docs).collect()} == want
-    kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
-    left = simhash.keep_first(awkward)
-    assert left.columns == awkward.columns
-    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(["1", "2", "5", "6", "8", "9", "10", "None"])
-    assert simhash.keep_first(nothing).count() == 0
-    twice = spark.createDataFrame([(3, "alpha beta gamma delta epsilon zeta"), (3, "alpha beta gamma delta epsilon zeta"), (4, "other words that stand here alone")], "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in simhash.keep_first(twice).collect()) == [3, 4]
-
-
-def groups_of(spark, texts):
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    ids = range(len(texts))
-    pairs = [(a, b) for a in ids for b in ids if a < b and jaccard(texts[a], texts[b])]
-    return {r["doc_id"]: r["group_id"] for r in simhash.duplicate_groups(docs).collect()}, components(pairs, ids)
-
-
-def test_a_lighter_proposal_displaces_no_similar_pair(spark):
-    """Revisions of one text that differ among themselves; the original is the last document."""
-    rng = random.Random(5)
-    texts = []
-    for _ in range(12):
-        base = [f"w{rng.randint(0, 3000)}" for _ in range(200)]
-        for _ in range(6):
-            parts = list(base)
-            for at in rng.sample(range(0, 200, 6), 4):
-                parts[at] = f"new{rng.randint(0, 9999)}"
-            texts.append(" ".join(parts))
-        texts.append(" ".join(base))
-    got, want = groups_of(spark, texts)
-    assert len(set(want.values())) == 12 and got == want
-
-
-def test_similar_pairs_beyond_the_distance(spark):
-    """Copies shortened to a similarity of 0.8 to 0.85, as far apart as their fingerprints may be."""
-    rng = random.Random(6)
-    texts, far = [], 0
-    for _ in range(60):
-        base = [f"w{rng.randint(0, 3000)}" for _ in range(200)]
-        a, b = " ".join(base), " ".join(base[: rng.randint(161, 170)])
-        texts += [a, b]
-        far += (plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() > 11
-    got, want = groups_of(spark, texts)
-    assert far >= 3 and len(set(want.values())) == 60 and got == want

@@ -182,7 +182,8 @@ def write_token_shards(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", e
     """Encode every whole text, append end_id, and write shard files in ascending doc_id order (nulls first).
 
     Returns the manifest (part, seq, path, n_docs, n_tokens); shards ordered by (part, seq)
-    hold ascending doc_ids.  A null text is empty; repeated rows are written each time.
+    hold ascending doc_ids.  A null text is empty; repeated rows are written each time; other
+    columns are ignored, and an empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -219,12 +220,18 @@ def write_token_shards(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", e
             yield close()
         pa.default_memory_pool().release_unused()
 
-    ordered = doc_text(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # By the text's hash as well, so that a doc_id (or null) of many rows is not one task; texts themselves would be sampled to the driver.
+    rows = doc_text(docs).withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     return Table(ordered.mapInArrow(run, "part long, seq long, path string, n_docs long, n_tokens long"), "manifest").df
 
 
 def read_token_shards(manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32, read from the files alone."""
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32, read from the files alone.
+
+    A null doc_id comes back as null, an empty manifest gives no rows; a damaged or missing
+    file is an error, and only the manifest's part, seq, path and n_tokens are read.
+    """
     spark = manifest.sparkSession
     in_part = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each part: as many as write tasks, never as many as documents.

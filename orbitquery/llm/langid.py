@@ -4,17 +4,21 @@ For each language a tree of byte contexts up to ORDER long is counted once over
 labelled sample and then frozen.  A byte costs -log2 of its share in the longest
 context that was ever seen; a byte new to a context pays that context's escape
 probability (distinct successors over all, method C) and is coded one byte
-shorter, down to a uniform code.  A text's code length under each language is the
-exact sum over all its bytes, and the shortest wins.
-
-Bytes outside the sample's most frequent ones share a symbol and pay, in every
-language alike, for naming the byte.  So the trees can be unrolled into one table
-of bounded size, and scoring is a table lookup per byte.
+shorter, down to a uniform code over 256 bytes.  A text's code length under each
+language is the exact sum over all its bytes, and the shortest wins.
+
+All 256 byte values keep their own branches.  Trees are stored by their nodes: for a
+block of languages, the runs that any of them has seen with a row of bits, and the
+contexts with a row of escape bits.  A run that none has seen costs its context's
+escape and is looked up one byte shorter.  Scoring is a vectorised hash lookup per byte
+and block; a block's memory is bounded by its languages, and more languages make more
+blocks.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,90 +29,152 @@ from pyspark.sql import functions as F
 from .common import Table, map_rows, resident
 
 ORDER = 3
-#: Expected sample rows of a language, and most languages: the bound on what is learned from.
-ROWS_PER_LANGUAGE, LANGUAGES = 400, 256
-#: Bytes of the unrolled table in a worker.
-TABLE_BYTES = 32 << 20
+#: Expected sample rows of a language: the bound on what is learned from.
+ROWS_PER_LANGUAGE = 400
+#: Languages of a block, and bytes that are scored at once.
+BLOCK, CHUNK = 16, 1 << 19
 UNDECIDED = "und"
 #: A score tells how sure the choice is on the evidence of this many bytes at most.
 EVIDENCE = 64
 _LETTER = re.compile(r"[^\W\d_]")
-_FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PAD = b" " * ORDER
 
 
+def grams(raw: bytes, before: bytes = _PAD) -> np.ndarray:
+    """Every byte with the ORDER bytes before it, as one number."""
+    data = np.frombuffer(before + raw, dtype=np.uint8)
+    out = np.zeros(len(raw), dtype=np.uint32)
+    for k in range(ORDER + 1):
+        out = out << np.uint32(8) | data[k:k + len(raw)]
+    return out
+
+
+class Keys:
+    """Distinct numbers in an open-addressed table: find() gives their places, -1 for others."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+        self.table = np.full(1 << self.bits, -1, dtype=np.int32)
+        pending, slot = np.arange(len(keys)), self._slot(keys)
+        while len(pending):
+            free = np.flatnonzero(self.table[slot] < 0)
+            slots, first = np.unique(slot[free], return_index=True)
+            self.table[slots] = pending[free[first]]
+            left = np.ones(len(pending), dtype=bool)
+            left[free[first]] = False
+            pending, slot = pending[left], slot[left] + 1 & len(self.table) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(wanted), -1, dtype=np.int32)
+        slot = self._slot(wanted)
+        found = self.table.take(slot)
+        open_ = np.flatnonzero((found >= 0) & (self.keys.take(found) != wanted))
+        slot = slot[open_]
+        while len(open_):
+            slot = slot + 1 & len(self.table) - 1
+            found[open_] = self.table.take(slot)
+            wrong = (found[open_] >= 0) & (self.keys.take(found[open_]) != wanted[open_])
+            open_, slot = open_[wrong], slot[wrong]
+        return found
+
+
+class Trees:
+    """The context trees of some languages, each given by its runs of ORDER + 1 bytes and their counts."""
+
+    def __init__(self, samples: list[tuple[np.ndarray, np.ndarray]]):
+        width = len(samples)
+        self.runs: list[Keys] = []
+        self.bits: list[np.ndarray] = []
+        self.contexts: list[Keys] = []
+        self.escapes: list[np.ndarray] = []
+        shorter, short = np.full((1, width), 8.0), None  # a byte that no context knows
+        for length in range(1, ORDER + 2):
+            own = []
+            for keys, count in samples:
+                mask = np.uint32((1 << 8 * length) - 1)
+                runs, at = np.unique(keys & mask, return_inverse=True)
+                own.append((runs, np.bincount(at, count, minlength=len(runs))))
+            every = np.unique(np.concatenate([r for r, _ in own])) if own else np.zeros(0, dtype=np.uint32)
+            contexts = np.unique(every >> np.uint32(8))
+            escape = np.zeros((len(contexts), width))
+            bits = np.full((len(every), width), -1.0)
+            for k, (runs, count) in enumerate(own):
+                at = np.searchsorted(contexts, runs >> np.uint32(8))
+                n, kinds = np.bincount(at, count, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
+                seen = np.flatnonzero(kinds)
+                escape[seen, k] = np.log2((n[seen] + kinds[seen]) / kinds[seen])
+                bits[np.searchsorted(every, runs), k] = np.log2((n + kinds)[at] / count)
+            # What a language has not seen: its context's escape, and the run without its oldest byte.
+            down = shorter[np.searchsorted(short, every & np.uint32((1 << 8 * (length - 1)) - 1))] if length > 1 else np.repeat(shorter, len(every), axis=0)
+            below = escape[np.searchsorted(contexts, every >> np.uint32(8))] + down
+            shorter, short = np.where(bits < 0, below, bits), every
+            self.runs.append(Keys(every))
+            self.bits.append(shorter.astype(np.float32))
+            self.contexts.append(Keys(contexts))
+            self.escapes.append(escape.astype(np.float32))
+
+    def score(self, wanted: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each run, by language."""
+        at = self.runs[ORDER].find(wanted)
+        out = self.bits[ORDER].take(np.maximum(at, 0), axis=0) if len(self.bits[ORDER]) else np.zeros((len(wanted), self.bits[0].shape[1]), dtype=np.float32)
+        rest = np.flatnonzero(at < 0)
+        out[rest] = 0
+        for length in range(ORDER, -1, -1):
+            if not len(rest):
+                break
+            longer = wanted[rest] & np.uint32((1 << 8 * (length + 1)) - 1)
+            context = self.contexts[length].find(longer >> np.uint32(8))
+            known = context >= 0
+            out[rest[known]] += self.escapes[length][context[known]]
+            if not length:
+                out[rest] += 8.0
+                break
+            at = self.runs[length - 1].find(longer & np.uint32((1 << 8 * length) - 1))
+            known = at >= 0
+            out[rest[known]] += self.bits[length - 1][at[known]]
+            rest = rest[~known]
+        return out
+
+
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    symbol: np.ndarray  # of each byte; the last symbol stands for all rare bytes
-    size: int
-    grams: list[tuple[np.ndarray, np.ndarray]]  # per language: indices of ORDER + 1 symbols and their counts
-    stamp: int
-
-    @property
-    def rare_bits(self) -> float:
-        rare = int((self.symbol == self.size - 1).sum())
-        return float(np.log2(max(rare, 1)))
-
-    def table(self) -> np.ndarray:
-        """Bits of the last symbol of each run of ORDER + 1 symbols, by language: kept by the worker."""
-        return resident(("contexts", self.stamp), self._unrolled)
-
-    def _unrolled(self) -> np.ndarray:
-        table = np.empty((self.size ** (ORDER + 1), len(self.grams)), dtype=np.float32)
-        for k, (index, count) in enumerate(self.grams):
-            table[:, k] = _unroll(index, count, self.size)
-        return table
+    samples: list[tuple[np.ndarray, np.ndarray]]  # per language: runs of ORDER + 1 bytes and their counts
+    stamp: str
+
+    def trees(self) -> list[Trees]:
+        """One for each block of languages, kept by the worker."""
+        return resident(("contexts", self.stamp), lambda: [Trees(self.samples[k:k + BLOCK]) for k in range(0, len(self.samples), BLOCK)])
 
     def code_lengths(self, texts: list[str]) -> np.ndarray:
-        """Bits of each text under each language (texts by languages), padding not counted."""
-        table, rare = self.table(), self.rare_bits
+        """Bits of each text under each language (texts by languages)."""
         total = np.zeros((len(texts), len(self.languages)))
-        group, held = [], 0
+        parts, owner, held = [], [], 0
         for k, text in enumerate(texts):
-            raw = text.encode("utf-8", "surrogatepass").translate(_FOLD)
-            for at in range(0, len(raw), 1 << 19):
-                part = (raw[at - ORDER:at] if at else _PAD) + raw[at:at + (1 << 19)]
-                group.append((k, part))
-                held += len(part)
-                if held >= 1 << 19:
-                    self._add(group, table, rare, total)
-                    group, held = [], 0
-        self._add(group, table, rare, total)
+            raw = text.encode("utf-8", "surrogatepass")
+            for at in range(0, len(raw), CHUNK):
+                parts.append(grams(raw[at:at + CHUNK], raw[at - ORDER:at] if at else _PAD))
+                owner.append(k)
+                held += len(parts[-1])
+                if held >= CHUNK:
+                    self._add(parts, owner, total)
+                    parts, owner, held = [], [], 0
+        self._add(parts, owner, total)
         return total
 
-    def _add(self, group, table, rare, total) -> None:
-        if not group:
+    def _add(self, parts: list[np.ndarray], owner: list[int], total: np.ndarray) -> None:
+        if not parts:
             return
-        symbols = self.symbol[np.frombuffer(b"".join(p for _, p in group), dtype=np.uint8)]
-        index = symbols[:-ORDER].astype(np.int32)
-        for k in range(1, ORDER + 1):
-            index = index * self.size + symbols[k:len(symbols) - ORDER + k]
-        bits = table.take(index, axis=0)
-        ends = np.cumsum([len(p) for _, p in group])
-        starts = ends - [len(p) for _, p in group]
-        odd = (symbols[ORDER:] == self.size - 1).astype(np.float64) * rare
-        for (k, _), a, b in zip(group, starts.tolist(), (ends - ORDER).tolist(), strict=True):
-            total[k] += bits[a:b].sum(axis=0, dtype=np.float64) + odd[a:b].sum()
-
-
-def _unroll(index: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
-    """The context tree of one language as bits for every run of symbols."""
-    full = np.zeros(size ** (ORDER + 1), dtype=np.float32)
-    np.add.at(full, index, count)
-    levels = [full]
-    for k in range(ORDER, 0, -1):  # counts of shorter contexts: the oldest symbol is summed away
-        levels.append(levels[-1].reshape(size, -1).sum(axis=0))
-    share = np.full(size, 1.0 / size, dtype=np.float32)
-    for counts in reversed(levels):
-        by_context = counts.reshape(-1, size)
-        n, kinds = by_context.sum(axis=1, keepdims=True), (by_context > 0).sum(axis=1, keepdims=True, dtype=np.float32)
-        shorter = np.tile(share.reshape(-1, size), (len(by_context) // max(1, len(share) // size), 1)) if len(by_context) > 1 else share.reshape(1, size)
-        known = n + kinds
-        with np.errstate(divide="ignore", invalid="ignore"):
-            found = np.where(by_context > 0, by_context / known, kinds / known * shorter)
-        share = np.where(n > 0, found, shorter).reshape(-1)
-    return -np.log2(share)
+        wanted = np.concatenate(parts)
+        starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
+        for k, trees in enumerate(self.trees()):
+            sums = np.add.reduceat(trees.score(wanted), starts, axis=0, dtype=np.float64)
+            np.add.at(total[:, k * BLOCK:k * BLOCK + sums.shape[1]], owner, sums)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -117,69 +183,38 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """(lang, text) of about `rows` labelled, not held-out documents of each language, chosen by a hash of doc_id."""
+    """(lang, text) of about `rows` labelled, not held-out documents of each language, chosen by a hash of doc_id and text."""
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     ready = ready.where(F.col("lang").isNotNull() & ~held_out())
-    sizes = ready.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return ready.limit(0).select("lang", "text")
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
-    return ready.where((draw < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))) & F.col("text").isNotNull()).select("lang", "text")
+    # One row for each language, as many as the model itself has.
+    sizes = ready.groupBy("lang").count().collect()
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, rows / r["count"])) for r in sizes], "lang string, share double")
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
+    return ready.join(F.broadcast(shares), "lang").where((draw < F.col("share")) & F.col("text").isNotNull()).select("lang", "text")
 
 
 def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model:
-    """Count the sample where it lies; only counts of byte runs reach the driver, and their number is bounded."""
-    sample = Table(labelled_sample(docs, rows), "langsample")
-
-    def each(batch: pa.RecordBatch):
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield lang, text.encode("utf-8", "surrogatepass").translate(_FOLD)
+    """Count the sample where it lies; only counts of byte runs reach the driver, and `rows` bounds what they are from."""
 
-    def count_bytes(batches):
-        total: dict[str, np.ndarray] = {}
+    def count(batches):
+        total: dict[str, list] = {}
         for batch in batches:
-            for lang, raw in each(batch):
-                total[lang] = total.get(lang, 0) + np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-        for lang, n in total.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * 256, "k": list(range(256)), "n": n.astype(np.int64)})
-
-    schema = "lang string, k long, n long"
-    by_lang: dict[str, np.ndarray] = {}
-    for r in sample.df.mapInArrow(count_bytes, schema).groupBy("lang", "k").agg(F.sum("n").alias("n")).collect():
-        by_lang.setdefault(r["lang"], np.zeros(256))[r["k"]] = r["n"]
-    languages = sorted(by_lang)
-    size = max(4, min(64, int((TABLE_BYTES / 4 / max(1, len(languages))) ** (1 / (ORDER + 1)))))
-    # Shares, not counts, so that a large language doesn't choose the symbols alone.
-    weight = sum((n / max(n.sum(), 1) for n in by_lang.values()), np.zeros(256))
-    weight[32] += 1  # the padding
-    common = sorted(np.argsort(-weight, kind="stable")[: size - 1].tolist())
-    symbol = np.full(256, size - 1, dtype=np.uint8)
-    symbol[common] = np.arange(size - 1)
-
-    def count_runs(batches):
-        total: dict[str, dict] = {}
-        for batch in batches:
-            for lang, raw in each(batch):
-                symbols = symbol[np.frombuffer(_PAD + raw, np.uint8)].astype(np.int64)
-                index = symbols[: len(symbols) - ORDER]
-                for k in range(1, ORDER + 1):
-                    index = index * size + symbols[k:len(symbols) - ORDER + k]
-                mine = total.setdefault(lang, {})
-                for i, n in zip(*(x.tolist() for x in np.unique(index, return_counts=True)), strict=True):
-                    mine[i] = mine.get(i, 0) + n
-        for lang, mine in total.items():
-            table = pa.table({"lang": pa.array([lang] * len(mine)), "k": pa.array(list(mine), pa.int64()), "n": pa.array(list(mine.values()), pa.int64())})
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total.setdefault(lang, []).append(grams(text.encode("utf-8", "surrogatepass")))
+        for lang, parts in total.items():
+            runs, n = np.unique(np.concatenate(parts), return_counts=True)
+            table = pa.table({"lang": pa.array([lang] * len(runs)), "run": pa.array(runs.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
             yield from table.to_batches(max_chunksize=10_000)
 
-    runs = sample.df.mapInArrow(count_runs, schema).groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas()
+    sample = Table(labelled_sample(docs, rows), "langsample")
+    counted = sample.df.mapInArrow(count, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")).toPandas()
     sample.drop()
-    grams = []
-    for lang in languages:
-        mine = runs[runs["lang"] == lang].sort_values("k")
-        grams.append((mine["k"].to_numpy(np.int64), mine["n"].to_numpy(np.float64)))
-    stamp = hash((size, tuple(languages), tuple(int(n.sum()) for _, n in grams), tuple(len(n) for _, n in grams)))
-    return Model(languages, symbol, size, grams, stamp)
+    languages, samples = [], []
+    for lang, mine in counted.groupby("lang", sort=True):
+        mine = mine.sort_values("run")
+        languages.append(lang)
+        samples.append((mine["run"].to_numpy(np.uint32), mine["n"].to_numpy(np.float64)))
+    return Model(languages, samples, uuid.uuid4().hex)
 
 
 def choose(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -113,17 +113,41 @@ def plain_bits(runs, size, symbols):
 
 
 def test_code_lengths_are_exact(spark):
-    docs = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("der hund und die katze", "de"), ("the dog and the hat", "en"), ("das ist ein haus", "de")] * 3)], "doc_id long, text string, lang string")
+    """Against a plain model over all 256 bytes, with scripts of several bytes a letter."""
+    lines = [("the cat sat on the mat", "en"), ("der Hund und die Katze", "de"), ("The dog and the hat", "en"), ("Das ist ein Häuschen", "de"), ("собака и кошка в доме", "ru"), ("ο σκύλος και η γάτα", "el"), ("猫坐在垫子上", "zh"), ("кошка на окне", "ru")]
+    docs = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(lines * 3)], "doc_id long, text string, lang string")
     model = langid.train(docs)
     sample = [r for r in docs.where(~langid.held_out()).collect()]
-    texts = ["the hound sat", "eine katze!", "zzz", "the cat " * 9]
+    texts = ["the hound sat", "eine Katze!", "zzz", "the cat " * 9, "кошка и собака", "η γάτα", "垫子 and 猫", "\x00\x7f"]
     got = model.code_lengths(texts)
+    assert model.languages == ["de", "el", "en", "ru", "zh"]
     for k, lang in enumerate(model.languages):
-        runs = [model.symbol[np.frombuffer(b"   " + r["text"].encode(), np.uint8)].tolist() for r in sample if r["lang"] == lang]
+        runs = [list(b"   " + r["text"].encode()) for r in sample if r["lang"] == lang]
         for t, row in zip(texts, got, strict=True):
-            symbols = model.symbol[np.frombuffer(b"   " + t.encode(), np.uint8)].tolist()
-            rare = sum(s == model.size - 1 for s in symbols[3:]) * model.rare_bits
-            assert np.isclose(row[k], plain_bits(runs, model.size, symbols) + rare, rtol=1e-4)
+            assert np.isclose(row[k], plain_bits(runs, 256, list(b"   " + t.encode())), rtol=1e-4)
+
+
+def test_three_hundred_languages(spark):
+    """More languages make more blocks, none is left out and none becomes coarser."""
+    rng = random.Random(12)
+    words = [["".join(chr(rng.randint(0x400, 0x45F) if k % 2 else rng.randint(97, 122)) for _ in range(5)) for _ in range(12)] for k in range(300)]
+    rows = [(1000 * k + j, " ".join(rng.choice(words[k]) for _ in range(30)), f"l{k:03d}") for k in range(300) for j in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.languages) == 300
+    named, _ = langid.choose(model, [" ".join(rng.choice(words[k]) for _ in range(30)) for k in range(300)])
+    assert named == [f"l{k:03d}" for k in range(300)]
+    runs = [list(b"   " + r["text"].encode()) for r in docs.where(~langid.held_out()).where("lang = 'l201'").collect()]
+    text = " ".join(words[201][:3] + words[7][:2])
+    assert np.isclose(model.code_lengths([text])[0][201], plain_bits(runs, 256, list(b"   " + text.encode())), rtol=1e-4)
+
+
+def test_keys_are_found():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**32, 5000).astype(np.uint32))
+    table = langid.Keys(keys[::2])
+    assert (table.find(keys[::2]) == np.arange(len(keys[::2]))).all() and (table.find(keys[1::2]) == -1).all()
+    assert (langid.Keys(keys[:0]).find(keys[:3]) == -1).all()
 
 
 def test_long_texts_are_scored_whole(spark, sf_dir):

@@ -37,6 +37,8 @@ SHINGLE, SIMILAR = 5, 0.8
 SAMPLE, COMMON = 20_000, 100_000
 #: Rows of a cell that give all their pairs at once; bytes of text in a block; most bits of a sketch.
 SMALL, BLOCK, SKETCH = 32, 8 << 20, 1 << 16
+#: Cells of a node, the first in order, that travel with it to tell where else a pair meets.
+HEADS = 8
 _ENTRY = np.dtype([("run", "<u4"), ("node", "<i8")])
 _COMMON = np.dtype([("run", "<i8"), ("node", "<i8")])
 
@@ -53,8 +55,8 @@ def node_of(text: str | None) -> int:
 
 
 def odd_sketch(runs: np.ndarray) -> bytes:
-    """Parities of the runs in each of 2^k buckets, about as many as there are runs."""
-    bits = min(SKETCH, 1 << max(6, (len(runs) - 1).bit_length()))
+    """Parities of the runs in each of 2^k buckets, two to four for each run."""
+    bits = min(SKETCH, 1 << max(6, (2 * len(runs) - 1).bit_length()))
     return np.packbits(np.bincount((runs & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -158,7 +160,8 @@ def _send(shared, buckets: int, width: int, shingle: int, least: float):
                 rare["run"], rare["node"] = runs[~common] & np.uint64(0xFFFFFFFF), owner[~common]
                 yield blocks(RARE, ((runs[~common] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), rare)
                 often = np.zeros(int(common.sum()), dtype=_COMMON)
-                often["run"], often["node"] = runs[common].view(np.int64), owner[common]
+                # Less one bit, so that cells below zero are blocks only.
+                often["run"], often["node"] = (runs[common] >> np.uint64(1)).astype(np.int64), owner[common]
                 # Common runs need no counting, so they may go anywhere.
                 yield blocks(KNOWN, (owner[common].view(np.uint64) % np.uint64(buckets)).astype(np.int32), often)
         pa.default_memory_pool().release_unused()
@@ -216,10 +219,18 @@ def _recur(batches):
         yield from _shared(bucket, held)
 
 
-def _pairs(cell, role, root, node, n, sketch: list[bytes], crowd, least: float, every: bool, small: int):
+def met_before(cell: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """True for pairs that share an earlier cell too, by the first cells of both (rows of HEADS numbers): there they are looked at."""
+    same = left[:, :, None] == right[:, None, :]
+    return (same & (left < cell[:, None])[:, :, None]).any(axis=(1, 2))
+
+
+def _pairs(cell, role, root, node, n, crowd, origin, sketch: list[bytes], heads: np.ndarray, least: float, every: bool, small: int):
     """Pairs (a, b) of nodes with different roots that may be similar; rows come sorted by cell, table rows first.
 
-    Cells below zero are blocks of a hot cell: there only lookups (role 1) ask.
+    Cells below zero are blocks of a hot cell (origin): there only lookups (role 1) ask, and
+    of two nodes with different roots one does.  A pair that
+    shares many cells is given by the first of them, as far as `heads` tell, not by all.
     """
     new = np.concatenate([[True], cell[1:] != cell[:-1]])
     start = np.flatnonzero(new)
@@ -239,6 +250,8 @@ def _pairs(cell, role, root, node, n, sketch: list[bytes], crowd, least: float,
         left, right, limit = left[keep], right[keep], limit[keep]
         for at in range(0, len(left), 100_000):
             x, y, most = left[at:at + 100_000], right[at:at + 100_000], limit[at:at + 100_000]
+            here = ~met_before(origin[x], heads[x], heads[y])
+            x, y, most = x[here], y[here], most[here]
             far = apart([sketch[k] for k in x.tolist()], [sketch[k] for k in y.tolist()])
             keep = far <= most
             x, y, far = x[keep], y[keep], far[keep] / most[keep]
@@ -279,8 +292,9 @@ def _scan(least: float, every: bool, small: int):
             yield from answered(held)
 
     def answered(rows: pa.Table):
-        numbers = [rows.column(k).to_numpy() for k in ("cell", "role", "root", "node", "n")]
-        yield from _pairs(*numbers, rows.column("sketch").to_pylist(), rows.column("crowd").to_numpy(), least, every, small)
+        numbers = [rows.column(k).to_numpy() for k in ("cell", "role", "root", "node", "n", "crowd", "origin")]
+        heads = rows.column("heads").combine_chunks().flatten().to_numpy().reshape(-1, HEADS)
+        yield from _pairs(*numbers, rows.column("sketch").to_pylist(), heads, least, every, small)
 
     return run
 
@@ -297,12 +311,15 @@ def _meet(cells: DataFrame, roots: DataFrame, nodes: DataFrame, least: float, ev
     if every:
         stats = stats.where(F.col("split") | (F.col("crowd") > small))
     stats = Table(stats.select("cell", "crowd"), "crowds").df
-    several = rows.join(stats.hint("merge"), "cell").select("cell", "node", "root", "crowd", F.lit(0).cast("byte").alias("role"))
+    several = rows.join(stats.hint("merge"), "cell").select("cell", "node", "root", "crowd", F.lit(0).cast("byte").alias("role"), F.col("cell").alias("origin"))
+    # A node's cells are runs of one text, so a list of them is bounded by that.
+    padded = F.concat(F.array_sort(F.collect_set("cell")), F.array_repeat(F.lit((1 << 63) - 1), HEADS))
+    heads = several.groupBy("node").agg(F.slice(padded, 1, HEADS).alias("heads"))
     hot = Table(stats.where(F.col("crowd") > most), "hot").df
     if not hot.isEmpty():
         several = _deal(several, hot, most)
-    ready = several.join(nodes.select("node", "n", "sketch").hint("merge"), "node")
-    ready = ready.select("cell", "role", "root", "node", "n", "sketch", "crowd").repartition("cell").sortWithinPartitions("cell", "role")
+    ready = several.join(heads.hint("merge"), "node").join(nodes.select("node", "n", "sketch").hint("merge"), "node")
+    ready = ready.select("cell", "role", "root", "node", "n", "sketch", "crowd", "heads", "origin").repartition("cell").sortWithinPartitions("cell", "role")
     return Table(ready.mapInArrow(_scan(least, every, small), "a long, b long").distinct(), "meet").df
 
 
@@ -317,7 +334,7 @@ def _deal(rows: DataFrame, hot: DataFrame, most: int) -> DataFrame:
     asks = dealt.where("root <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1).cast("byte"))
     # Cells of blocks are negative and named anew.
     name = -(F.pmod(F.xxhash64("cell", "block"), F.lit(1 << 62)) + 1)
-    columns = ["node", "root", "crowd", "role"]
+    columns = ["node", "root", "crowd", "role", "origin"]
     return calm.select("cell", *columns).unionByName(own.unionByName(asks).select(name.alias("cell"), *columns))
 
 

@@ -107,3 +107,11 @@ def test_documents_with_several_texts_are_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r["doc_id"], r["group_id"]) for r in neardup.duplicate_groups(docs).collect()} == {(1, 1), (2, 1), (3, 1)}
     assert sorted(str(r["doc_id"]) for r in neardup.keep_first(docs).collect()) == ["1", "None"]
+
+
+def test_pairs_are_given_once_by_their_first_cell():
+    cell = np.array([5, 5, 5, -3])
+    top = np.iinfo(np.int64).max
+    left = np.array([[1, 5] + [top] * 6, [5] + [top] * 7, [2, 5] + [top] * 6, [-3, 4] + [top] * 6])
+    right = np.array([[1, 2, 5] + [top] * 5, [4, 5] + [top] * 6, [3, 5] + [top] * 6, [-3, 4] + [top] * 6])
+    assert neardup.met_before(cell, left, right).tolist() == [True, False, False, False]

@@ -28,6 +28,12 @@ def tile_bounds(x: Column, y: Column, zoom: Column) -> list[Column]:
     return [x * step - HALF, HALF - (y + 1) * step, (x + 1) * step - HALF, HALF - y * step]
 
 
+def range_bounds(x0: Column, y0: Column, x1: Column, y1: Column, zoom: Column) -> list[Column]:
+    """Bounds in metres of all tiles from (x0, y0), the upper left one, to (x1, y1)."""
+    low, high = tile_bounds(x0, y1, zoom), tile_bounds(x1, y0, zoom)
+    return [low[0], low[1], high[2], high[3]]
+
+
 def ground_resolution(zoom: Column, tile: int = 256) -> Column:
     return F.lit(AROUND) / F.pow(F.lit(2.0), zoom) / tile
 

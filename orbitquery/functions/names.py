@@ -34,3 +34,8 @@ def has_extension(path: Column, extensions: Sequence[str]) -> Column:
 
 def from_gbk(raw: Column) -> Column:
     return F.decode(raw, "GBK")
+
+
+def stamped(name: Column, time: Column) -> Column:
+    """A result's name with the time of its run, to the second."""
+    return F.concat_ws("_", name, F.date_format(time, "yyyyMMdd_HHmmss"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import Table, free_name
+
 CUT, OVERLAP, DROP_LAST = 512, 0.1, 0.2
 
 
@@ -38,30 +40,57 @@ def tile_grid(scenes: DataFrame, width: str = "width", height: str = "height", c
     return scenes.withColumn("cut", size.cast("int")).withColumn("stx", F.explode(xs)).withColumn("sty", F.explode(ys))
 
 
-def sequential_ids(df: DataFrame, order: Sequence[str], name: str = "id", rows: int = 100_000) -> DataFrame:
-    """Numbers 0, 1, ... in the given order without sorting everything in one task.
+def _ordered(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, str, str]:
+    """The rows in order, written once, with the part and the place in it as columns (and their names).
 
-    A sample drawn by hash gives bounds between parts of about `rows` rows; bounds and a
-    count for each part come to the driver.  Since parts are told by value, not by
-    physical partition, counting and numbering always agree.
+    Parts are ranges of the order, so a part's rows all come before the next part's.  They
+    are settled by writing: whatever reads them sees the same parts.
     """
-    schema = df.select(*order).schema
-    parts = max(1, -(-df.count() // rows))
-    # About 50 sample rows for each part.
-    drawn = [] if parts == 1 else df.where(F.pmod(F.xxhash64(*order), F.lit(max(1, rows // 50))) == 0).select(*order).orderBy(*order).collect()
-    cuts = [drawn[len(drawn) * k // parts] for k in range(1, parts)] if drawn else []
-    bounds = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields, strict=True)]) for row in dict.fromkeys(cuts)]
-    here = F.struct(*order)
-    part = F.size(F.filter(F.array(*bounds), lambda b: b <= here)) if bounds else F.lit(0)
-    told = df.withColumn("__part", part)
-    counts = {r["__part"]: r["count"] for r in told.groupBy("__part").count().collect()}
-    before, total = {}, 0
-    for k in sorted(counts):
-        before[k] = total
-        total += counts[k]
-    offsets = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return told.withColumn(name, (inside + F.element_at(offsets, F.col("__part"))).cast("long")).drop("__part")
+    part, place = free_name(df, "part"), free_name(df, "place")
+    # The upper bits of a row's running number are its partition, the lower ones its place there.
+    number = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, number)
+    rows = rows.withColumn(part, F.shiftright(place, 33).cast("int")).withColumn(place, F.col(place).bitwiseAND(F.lit((1 << 33) - 1)))
+    return Table(rows, "ordered").df, part, place
+
+
+def _starts(totals: DataFrame, part: str, total: str, start: str) -> DataFrame:
+    """part and what all parts before it hold; one row for each range partition, however many rows they have."""
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(totals.select(part, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(start)))
+
+
+def sequential_ids(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
+    """Numbers 0, 1, ... in the given order: one range shuffle, and a count for each of its parts.
+
+    Rows that are equal in the order are numbered one after the other, in any order.
+    """
+    rows, part, place = _ordered(df, order)
+    total, start = free_name(rows, "total"), free_name(rows, "start")
+    starts = _starts(rows.groupBy(part).agg(F.count("*").alias(total)), part, total, start)
+    return rows.join(starts, part).withColumn(name, (F.col(start) + F.col(place)).cast("long")).select(*df.columns, name)
+
+
+def numbered_tiles(scenes: DataFrame, order: Sequence[str], width: str = "width", height: str = "height", cut: Column | int = CUT, overlap: float = OVERLAP,
+                   drop_last: float | None = DROP_LAST, name: str = "id") -> DataFrame:
+    """tile_grid() with ids 0, 1, ... by scene in the given order, then by stx and sty.
+
+    A scene's tiles are its starts along x times those along y, so only scenes are ordered
+    and summed up; tiles get their ids where they are made, without a shuffle.
+    """
+    size = F.lit(cut) if isinstance(cut, int) else cut
+    part, place, total, start, first, xs, ys, x, y, ix = (free_name(scenes, n) for n in ("part", "place", "total", "start", "first", "xs", "ys", "x", "y", "ix"))
+    axes = scenes.withColumn("cut", size.cast("int"))
+    axes = axes.withColumn(xs, axis_offsets(F.lit(0), F.col(width), F.col("cut"), overlap, drop_last)).withColumn(ys, axis_offsets(F.lit(0), F.col(height), F.col("cut"), overlap, drop_last))
+    rows, part, place = _ordered(axes, order)
+    tiles = (F.size(xs) * F.size(ys)).cast("long")
+    starts = _starts(rows.groupBy(part).agg(F.sum(tiles).alias(total)), part, total, start)
+    inside = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(first, F.coalesce(F.sum(tiles).over(inside), F.lit(0))).join(starts, part)
+    rows = rows.withColumn(first, F.col(first) + F.col(start))
+    rows = rows.select("*", F.posexplode(xs).alias(ix, "stx"))
+    rows = rows.select("*", F.posexplode(ys).alias(y, "sty"))
+    return rows.withColumn(name, F.col(first) + F.col(ix) * F.size(ys) + F.col(y)).select(*[c for c in scenes.columns if c != "cut"], "cut", "stx", "sty", name)
 
 
 def with_levels(df: DataFrame, levels: Sequence[int], cut: int = CUT) -> DataFrame:
@@ -70,16 +99,14 @@ def with_levels(df: DataFrame, levels: Sequence[int], cut: int = CUT) -> DataFra
 
 
 def centred_window(low: Column, high: Column, size: float, least: Column, most: Column) -> tuple[Column, Column]:
-    """An interval widened to `size` around its middle, moved and shrunk to stay within bounds."""
-    want = F.least(F.lit(float(size)), most - least)
-    middle = (low + high) / 2.0
-    a, b = middle - want / 2.0, middle + want / 2.0
-    b1 = F.when(a < least, b + F.abs(a - least)).otherwise(b)
-    a1 = F.when(a < least, least).otherwise(a)
-    a2 = F.when(b1 > most, a1 - F.abs(b1 - most)).otherwise(a1)
-    b2 = F.when(b1 > most, most).otherwise(b1)
-    narrow = F.abs(high - low) < want
-    return F.when(narrow, a2).otherwise(low), F.when(narrow, b2).otherwise(high)
+    """An interval shorter than `size` (or than the bounds, if these are shorter) widened to that length.
+
+    It keeps its middle as far as the bounds allow; a longer interval stays as it is.
+    """
+    length = F.least(F.lit(float(size)), most - least)
+    start = F.greatest(least, F.least(most - length, (low + high - length) / 2.0))
+    widen = high - low < length
+    return F.when(widen, start).otherwise(low), F.when(widen, start + length).otherwise(high)
 
 
 def aspect_split(chips: DataFrame, width: str = "width", height: str = "height", ratio: float = 1.7) -> DataFrame:
@@ -118,16 +145,34 @@ def block_split(chips: DataFrame, width: str = "width", height: str = "height",
 
 
 def chip_levels(chips: DataFrame, levels: Sequence[int], base: float, least: int = 250, width: str = "width", height: str = "height", res: str = "res") -> DataFrame:
-    """Each chip at the levels it is written to: no enlarging, and none below the one whose shorter side falls under `least`."""
-    out = chips.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
-    out = out.withColumn("scale", F.col(res) / (F.lit(float(base)) * F.pow(F.lit(2.0), F.col("level"))))
-    out = out.where("scale <= 1.0")
-    for name, source in (("out_width", width), ("out_height", height)):
-        out = out.withColumn(name, F.rint(F.col(source) * F.col("scale")).cast("int"))
-    keys = [c for c in chips.columns]
-    before = Window.partitionBy(*keys).orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
-    small = F.min(F.least("out_width", "out_height")).over(before)
-    return out.withColumn("__s", small).where(F.col("__s").isNull() | (F.col("__s") >= least)).drop("__s")
+    """Each chip at the levels it is written to: no enlarging, and none below the one whose shorter side falls under `least`.
+
+    A level is told by its own arithmetic: sides shrink from level to level, so it is enough
+    that the level before it is an enlargement or still long enough.  Equal chips each get
+    all of theirs.
+    """
+    rising = sorted(levels)
+    step = free_name(chips, "step")
+    pairs = [F.struct(F.lit(v).alias("level"), F.lit(before).cast("int").alias("before")) for v, before in zip(rising, [None, *rising], strict=False)]
+    out = chips.withColumn(step, F.explode(F.array(*pairs)))
+
+    def scale(level: Column) -> Column:
+        return F.col(res) / (F.lit(float(base)) * F.pow(F.lit(2.0), level))
+
+    def side(name: str, by: Column) -> Column:
+        return F.rint(F.col(name) * by).cast("int")
+
+    earlier = scale(F.col(f"{step}.before"))
+    goes_on = F.col(f"{step}.before").isNull() | (earlier > 1.0) | (F.least(side(width, earlier), side(height, earlier)) >= least)
+    out = out.where((scale(F.col(f"{step}.level")) <= 1.0) & goes_on).withColumn("level", F.col(f"{step}.level")).withColumn("scale", scale(F.col("level")))
+    return out.withColumn("out_width", side(width, F.col("scale"))).withColumn("out_height", side(height, F.col("scale"))).drop(step)
+
+
+def tile_range(df: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
+    """One row for each map tile of a range, with x, y and its place ix, iy in it; a range without tiles gives none."""
+    some = (F.col(x0) <= F.col(x1)) & (F.col(y0) <= F.col(y1))
+    out = df.where(some).withColumn("ix", F.explode(F.sequence(F.lit(0).cast("long"), F.col(x1) - F.col(x0)))).withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), F.col(y1) - F.col(y0))))
+    return out.withColumn("x", F.col(x0) + F.col("ix")).withColumn("y", F.col(y0) + F.col("iy"))
 
 
 def rotations(df: DataFrame) -> DataFrame:

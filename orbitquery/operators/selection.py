@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quad
+from ..tables import Table
 
 EARLY_STOP, ANGLE = 0.99, 45.0
 
@@ -52,8 +53,8 @@ def match_in_batches(ranked: DataFrame, verify: Callable[[DataFrame], DataFrame]
     """Early exit for set processing: verify ranks in batches, and go on only with queries not yet solved.
 
     verify gives the accepted rows of a batch; a candidate's outcome may not depend on others.
-    save materialises a batch's accepted rows; by default they are checkpointed where the session has a
-    checkpoint folder, so that a later batch does not run the earlier ones again.
+    save materialises a batch's accepted rows; by default they are written to the shared folder (an error
+    on a cluster without one), so that a later batch does not run the earlier ones again.
     The result is each query's first success by rank, as if candidates were tried one by one.
     """
     last = ranked.agg(F.max(rank).alias("n")).first()["n"] or 0
@@ -63,11 +64,7 @@ def match_in_batches(ranked: DataFrame, verify: Callable[[DataFrame], DataFrame]
         if solved is not None:
             batch = pending(batch, solved, [query])
         accepted = first_success(verify(batch), query, [rank])
-        accepted = save(accepted, k) if save else _cut(accepted)
+        accepted = save(accepted, k) if save else Table(accepted, "solved").df
         solved = accepted if solved is None else solved.unionByName(accepted)
     return solved if solved is not None else first_success(verify(ranked), query, [rank])
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    has_folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return df.checkpoint() if has_folder else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import quad
+from ..functions import affine, quad
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -91,3 +91,29 @@ def burned(boxes: DataFrame, code: str, order: str, size: int) -> DataFrame:
 def grouped(features: DataFrame, code: str, value: str) -> DataFrame:
     """code, n and the sorted list of values of each class: for layers whose classes fit in a row."""
     return features.groupBy(code).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(value)).alias("items"))
+
+
+def change_pairs(layer: DataFrame, scenes: DataFrame, key: str, before: str = "before", after: str = "after") -> DataFrame:
+    """Features of a change layer with the columns of the scene that they belong to: change ("before-after") and output (1 if they differ).
+
+    A null class counts as one of its own; features without a scene go.
+    """
+    same = F.col(before).eqNullSafe(F.col(after))
+    rows = layer.join(scenes, key)
+    return rows.withColumn("change", F.concat(F.coalesce(F.col(before), F.lit("")), F.lit("-"), F.coalesce(F.col(after), F.lit("")))).withColumn("output", F.when(same, 0).otherwise(1))
+
+
+def paired_windows(windows: DataFrame, inputs: DataFrame, key: str, size: float) -> DataFrame:
+    """Each window with the other inputs of its key whose extent it touches: where it lies in their pixels.
+
+    windows: id, key and box in map units; inputs: id, key, gt (six numbers), width, height.
+    Gives window_id, input_id, x, y, w, h (pixels, as far as the window goes) and inside, true
+    if the input covers it whole.
+    """
+    extent = affine.pixel_rect_to_box([F.col("gt")[k] for k in range(6)], F.lit(0), F.lit(0), F.col("width"), F.col("height"))
+    placed = inputs.select("id", key, "gt", "width", "height", *[v.alias(c) for v, c in zip(extent, BOX, strict=True)])
+    both = overlap_join(windows.select("id", key, *BOX), placed, size).where(F.col(f"a_{key}") == F.col(f"b_{key}"))
+    rect = affine.box_to_pixel_rect([F.col("b_gt")[k] for k in range(6)], [F.col(f"a_{c}") for c in BOX])
+    out = both.select(F.col("a_id").alias("window_id"), F.col("b_id").alias("input_id"), *[v.alias(n) for v, n in zip(rect, "xywh", strict=True)], "b_width", "b_height")
+    inside = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") + F.col("w") <= F.col("b_width")) & (F.col("y") + F.col("h") <= F.col("b_height"))
+    return out.withColumn("inside", inside).drop("b_width", "b_height")

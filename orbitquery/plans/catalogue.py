@@ -38,7 +38,7 @@ def _round(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 
 _UNIT = "e AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM vectors)"
 _RANKED = f"""{with_sql('vectors')}, {_UNIT},
-d AS (SELECT q.vec_id AS query_id, b.vec_id AS tile_id, list_sum(list_transform(list_zip(q.u, b.u), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM e q, e b WHERE q.vec_id < 20),
+d AS (SELECT q.vec_id AS query_id, b.vec_id AS tile_id, list_sum(list_transform(list_zip(q.u, b.u), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM e q, e b WHERE q.vec_id % 20 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 9), tile_id) AS INTEGER) AS rank, tile_id, round(d2, 6) AS d2 FROM d)
 SELECT query_id, rank, tile_id, d2 FROM r"""
 
@@ -46,13 +46,13 @@ SELECT query_id, rank, tile_id, d2 FROM r"""
 @query(_RANKED + " WHERE rank <= 10")
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = fx.table(spark, sf_dir, "embeddings")
-    return _round(search.rank_tiles(base, base.where("vec_id < 20"), k=10), "d2")
+    return _round(search.rank_tiles(base, base.where("vec_id % 20 = 0"), k=10), "d2")
 
 
 @query(_RANKED)
 def rank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = fx.table(spark, sf_dir, "embeddings")
-    return _round(search.rank_tiles(base, base.where("vec_id < 20")), "d2")
+    return _round(search.rank_tiles(base, base.where("vec_id % 20 = 0")), "d2")
 
 
 @query(f"""{with_sql('vectors')}, l AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM vectors)
@@ -61,20 +61,23 @@ def centroid_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(search.pooled(fx.vectors(spark, sf_dir), "label", "v"), "mean")
 
 
-@query(f"""{with_sql('vectors')}, t AS (SELECT vec_id AS tile_id, CAST(vec_id % 4 AS INTEGER) AS level, v[1] AS f FROM vectors)
-SELECT t.tile_id, p.p_size AS sty, round(t.f, 6) + 0.0 AS f FROM t JOIN part p ON p.p_partkey = t.tile_id WHERE t.level = 2""")
+@query(f"""{with_sql('vectors')}, t AS (SELECT vec_id AS tile_id, CAST(vec_id % 4 AS INTEGER) AS level, v FROM vectors),
+r AS (SELECT vec_id AS tile_id, row_number() OVER (ORDER BY vec_id * 7919 % 10007, vec_id) AS rank FROM vectors)
+SELECT t.tile_id, r.rank, p.p_size AS sty, CAST(k - 1 AS INTEGER) AS pos, round(t.v[k], 6) + 0.0 AS f FROM t JOIN r USING (tile_id) JOIN part p ON p.p_partkey = t.tile_id, (SELECT unnest(range(1, 65)) AS k) WHERE t.level = 2""")
 def feature_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles and whole feature vectors of one level, for a ranking, with the rank."""
     ids = fx.vectors(spark, sf_dir)
-    features = ids.select(F.col("vec_id").alias("tile_id"), (F.col("vec_id") % 4).cast("int").alias("level"), F.col("v")[0].alias("f"))
+    features = ids.select(F.col("vec_id").alias("tile_id"), (F.col("vec_id") % 4).cast("int").alias("level"), "v")
     tiles = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 4).cast("int").alias("level"), F.col("p_size").alias("sty"))
-    found = search.features_in_rank_order(ids.select(F.col("vec_id").alias("tile_id")), tiles, features, level=2)
-    return _round(found.select("tile_id", "sty", "f"), "f")
+    ranked = grid.sequential_ids(ids.select(F.col("vec_id").alias("tile_id"), (F.col("vec_id") * 7919 % 10007).alias("d2")), ["d2", "tile_id"], "rank").withColumn("rank", F.col("rank") + 1)
+    found = search.features_in_rank_order(ranked, tiles, features, level=2)
+    return _round(found.select("tile_id", "rank", "sty", F.posexplode("v").alias("pos", "f")), "f")
 
 
 @query(f"""{with_sql('vectors')} SELECT vec_id, CAST(k - 1 AS INTEGER) AS pos, round((v[k] * 100 / 255 - [0.485, 0.456, 0.406][(k - 1) % 3 + 1]) / [0.229, 0.224, 0.225][(k - 1) % 3 + 1], 6) + 0.0 AS x
-FROM vectors, (SELECT unnest(range(1, 13)) AS k)""")
+FROM vectors, (SELECT unnest(range(1, 65)) AS k)""")
 def pixel_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = fx.vectors(spark, sf_dir).select("vec_id", F.transform(F.slice("v", 1, 12), lambda x: x * 100).alias("p"))
+    pixels = fx.vectors(spark, sf_dir).select("vec_id", F.transform("v", lambda x: x * 100).alias("p"))
     out = vector.pixel_normalised(F.col("p"), (0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
     return _round(pixels.select("vec_id", F.posexplode(out).alias("pos", "x")), "x")
 
@@ -117,19 +120,19 @@ def border_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.where(matching.off_border(F.col("vec_id"), 10, rows)).select("vec_id", x.cast("long").alias("px"), y.cast("long").alias("py"))
 
 
-@query(f"""{with_sql('vectors')}, l AS (SELECT vec_id, unnest(v[1:49]) AS x, generate_subscripts(v[1:49], 1) - 1 AS pos FROM vectors),
-p AS (SELECT vec_id, pos, exp(x / 0.1) / sum(exp(x / 0.1)) OVER (PARTITION BY vec_id) AS p, pos % 7 / 3 - 1 AS gx, pos // 7 / 3 - 1 AS gy FROM l),
+@query(f"""{with_sql('vectors')}, l AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM vectors),
+p AS (SELECT vec_id, pos, exp(x / 0.1) / sum(exp(x / 0.1)) OVER (PARTITION BY vec_id) AS p, pos % 8 / 3.5::DOUBLE - 1 AS gx, pos // 8 / 3.5::DOUBLE - 1 AS gy FROM l),
 s AS (SELECT vec_id, sum(p * gx) AS ex, sum(p * gy) AS ey, sum(p * gx * gx) AS xx, sum(p * gy * gy) AS yy FROM p GROUP BY vec_id)
 SELECT vec_id, round(ex, 6) + 0.0 AS ex, round(ey, 6) + 0.0 AS ey, round(sqrt(greatest(xx - ex * ex, 1e-10)) + sqrt(greatest(yy - ey * ey, 1e-10)), 6) AS std,
-  round(vec_id % 10 * 8 + ex * 3 * 2, 6) + 0.0 AS x1, round(vec_id // 10 * 8 + ey * 3 * 2, 6) + 0.0 AS y1 FROM s""")
+  round(vec_id % 10 * 8 + ex * 4 * 2, 6) + 0.0 AS x1, round(vec_id // 10 * 8 + ey * 4 * 2, 6) + 0.0 AS y1 FROM s""")
 def fine_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = fx.vectors(spark, sf_dir)
-    heat = v.select("vec_id", F.transform(F.slice("v", 1, 49), lambda x: F.exp(x / 0.1)).alias("e"))
+    heat = v.select("vec_id", F.transform("v", lambda x: F.exp(x / 0.1)).alias("e"))
     heat = heat.withColumn("total", F.aggregate("e", F.lit(0.0), lambda s, x: s + x)).select("vec_id", "total", F.posexplode("e").alias("pos", "x"))
-    found = matching.expectation(heat.select("vec_id", "pos", (F.col("x") / F.col("total")).alias("p")), ["vec_id"], 7)
+    found = matching.expectation(heat.select("vec_id", "pos", (F.col("x") / F.col("total")).alias("p")), ["vec_id"], 8)
     x, y = matching.cell_to_pixel(F.col("vec_id"), 10, 8)
     coarse = v.select("vec_id", x.cast("double").alias("x1"), y.cast("double").alias("y1"))
-    return _round(matching.refine(coarse, found, ["vec_id"], 7, 2.0).select("vec_id", "ex", "ey", "std", "x1", "y1"), "ex", "ey", "std", "x1", "y1")
+    return _round(matching.refine(coarse, found, ["vec_id"], 8, 2.0).select("vec_id", "ex", "ey", "std", "x1", "y1"), "ex", "ey", "std", "x1", "y1")
 
 
 @query("""SELECT vec_id, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy, vec_id % 10 + dx AS nx, vec_id // 10 + dy AS ny FROM embeddings,
@@ -159,8 +162,7 @@ def _grid_sql(source: str, cut: str) -> str:
 @query(f"""{with_sql('scenes')}, g AS ({_grid_sql('scenes', '512')})
 SELECT row_number() OVER (ORDER BY scene_id, stx, sty) - 1 AS id, scene_id, stx, sty FROM g""")
 def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = grid.tile_grid(fx.scenes(spark, sf_dir)).select("scene_id", "stx", "sty")
-    return grid.sequential_ids(tiles, ["scene_id", "stx", "sty"]).select("id", "scene_id", "stx", "sty")
+    return grid.numbered_tiles(fx.scenes(spark, sf_dir), ["scene_id"]).select("id", "scene_id", "stx", "sty")
 
 
 _CLAMPED = "CAST(least(512, height // 128 * 128, width // 128 * 128) AS INTEGER)"
@@ -181,11 +183,11 @@ def _level_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.tile_grid(leveled, cut=F.col("level_cut"))
 
 
-@query(f"{_LEVELS} SELECT level, scene_id, stx, sty, CAST(stx / pow(2, level) AS INTEGER) AS lx, CAST(sty / pow(2, level) AS INTEGER) AS ly FROM (SELECT level, scene_id, CAST(stx AS DOUBLE) AS fx, stx, sty FROM g) WHERE stx % CAST(pow(2, level) AS INTEGER) = 0 AND sty % CAST(pow(2, level) AS INTEGER) = 0")
+@query(f"{_LEVELS} SELECT level, scene_id, stx, sty, CAST(trunc(stx / pow(2, level)) AS INTEGER) AS lx, CAST(trunc(sty / pow(2, level)) AS INTEGER) AS ly FROM g")
 def tile_grid_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows at each level with their start in the overview's own pixels; only whole starts, which both engines divide alike."""
-    scale = F.pow(F.lit(2.0), F.col("level")).cast("int")
-    tiles = _level_tiles(spark, sf_dir).where((F.col("stx") % scale == 0) & (F.col("sty") % scale == 0))
+    """Windows at each level with their start in the overview's own pixels, cut to whole ones."""
+    scale = F.pow(F.lit(2.0), F.col("level"))
+    tiles = _level_tiles(spark, sf_dir)
     return tiles.select("level", "scene_id", "stx", "sty", (F.col("stx") / scale).cast("int").alias("lx"), (F.col("sty") / scale).cast("int").alias("ly"))
 
 
@@ -194,33 +196,30 @@ def counts_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _level_tiles(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"))
 
 
-def _centred_sql(a: str, b: str, most: str) -> str:
+def _centred_sql(a: str, b: str, most: str) -> tuple[str, str]:
     w = f"least(300.0, CAST({most} AS DOUBLE))"
-    lo, hi = f"(({a} + {b}) / 2 - {w} / 2)", f"(({a} + {b}) / 2 + {w} / 2)"
-    hi1 = f"(CASE WHEN {lo} < 0 THEN {hi} - {lo} ELSE {hi} END)"
-    return (
-        f"CASE WHEN {b} - {a} < {w} THEN (CASE WHEN {hi1} > {most} THEN greatest({lo}, 0) - ({hi1} - {most}) ELSE greatest({lo}, 0) END) ELSE {a} END",
-        f"CASE WHEN {b} - {a} < {w} THEN least({hi1}, {most}) ELSE {b} END",
-    )
+    start = f"greatest(0, least({most} - {w}, ({a} + {b} - {w}) / 2))"
+    return f"CASE WHEN {b} - {a} < {w} THEN {start} ELSE {a} END", f"CASE WHEN {b} - {a} < {w} THEN {start} + {w} ELSE {b} END"
 
 
 _CX, _CY = _centred_sql("ix0", "ix1", "width"), _centred_sql("iy0", "iy1", "height")
 
 
-@query(f"""{with_sql('scenes', 'boxes')}, s AS (SELECT * FROM scenes WHERE scene_id % 100 = 7),
-j AS (SELECT s.scene_id, b.id, s.width, s.height, CAST(greatest(b.x0, 0) AS DOUBLE) AS ix0, CAST(greatest(b.y0, 0) AS DOUBLE) AS iy0, CAST(least(b.x1, s.width) AS DOUBLE) AS ix1, CAST(least(b.y1, s.height) AS DOUBLE) AS iy1
-  FROM s JOIN boxes b ON b.x0 <= s.width AND b.y0 <= s.height)
+@query(f"""{with_sql('scenes', 'boxes')}, s AS (SELECT *, scene_id * 6000 AS ox FROM scenes), f AS (SELECT id, x0 + id * 120000 AS x0, y0, x1 + id * 120000 AS x1, y1 FROM boxes),
+j AS (SELECT s.scene_id, f.id, s.width, s.height, CAST(greatest(f.x0 - ox, 0) AS DOUBLE) AS ix0, CAST(greatest(f.y0, 0) AS DOUBLE) AS iy0, CAST(least(f.x1 - ox, s.width) AS DOUBLE) AS ix1, CAST(least(f.y1, s.height) AS DOUBLE) AS iy1
+  FROM s JOIN f ON f.x0 <= ox + s.width AND f.x1 >= ox AND f.y0 <= s.height AND f.y1 >= 0)
 SELECT scene_id, id, {_CX[0]} AS wx0, {_CY[0]} AS wy0, {_CX[1]} AS wx1, {_CY[1]} AS wy1 FROM j WHERE (ix1 - ix0) * (iy1 - iy0) >= 500""")
 def grid_feature_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One window for each vector feature that overlaps a scene by 500 pixels at least."""
-    scenes = fx.scenes(spark, sf_dir).where("scene_id % 100 = 7").selectExpr("scene_id", "width", "height", "0 AS x0", "0 AS y0", "width AS x1", "height AS y1")
-    pairs = spatial.overlap_join(scenes, fx.boxes(spark, sf_dir), 512)
-    a, b = ([F.col(p + c) for c in spatial.BOX] for p in ("a_", "b_"))
-    low = [F.greatest(a[k], b[k]).cast("double") for k in (0, 1)]
-    high = [F.least(a[k], b[k]).cast("double") for k in (2, 3)]
-    pairs = pairs.where((high[0] - low[0]) * (high[1] - low[1]) >= 500)
-    wx = grid.centred_window(low[0], high[0], 300, F.lit(0.0), F.col("a_width").cast("double"))
-    wy = grid.centred_window(low[1], high[1], 300, F.lit(0.0), F.col("a_height").cast("double"))
+    """One window for each vector feature that overlaps a scene by 500 pixels at least; scenes stand in a row, a feature in each 20th."""
+    scenes = fx.scenes(spark, sf_dir).selectExpr("scene_id", "width", "height", "scene_id * 6000 AS x0", "0L AS y0", "scene_id * 6000 + width AS x1", "CAST(height AS BIGINT) AS y1")
+    features = fx.boxes(spark, sf_dir).selectExpr("id", "x0 + id * 120000 AS x0", "y0", "x1 + id * 120000 AS x1", "y1")
+    pairs = spatial.overlap_join(scenes, features, 2048)
+    origin = {"x": F.col("a_x0"), "y": F.lit(0)}
+    low = {c: F.greatest(F.col(f"b_{c}0") - origin[c], F.lit(0)).cast("double") for c in "xy"}
+    high = {c: F.least(F.col(f"b_{c}1") - origin[c], F.col(n)).cast("double") for c, n in (("x", "a_width"), ("y", "a_height"))}
+    pairs = pairs.where((high["x"] - low["x"]) * (high["y"] - low["y"]) >= 500)
+    wx = grid.centred_window(low["x"], high["x"], 300, F.lit(0.0), F.col("a_width").cast("double"))
+    wy = grid.centred_window(low["y"], high["y"], 300, F.lit(0.0), F.col("a_height").cast("double"))
     return pairs.select(F.col("a_scene_id").alias("scene_id"), F.col("b_id").alias("id"), wx[0].alias("wx0"), wy[0].alias("wy0"), wx[1].alias("wx1"), wy[1].alias("wy1"))
 
 
@@ -355,17 +354,20 @@ def xyz_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(out, "xmin", "ymax", places=3)
 
 
-@query(f"""{with_sql('lonlat')}, b AS (SELECT event_id, lon, lat, least(lon + 0.05, 179.9) AS lon1, greatest(lat - 0.05, -84.9) AS lat1, 12 AS z FROM lonlat WHERE event_id % 50 = 0),
+@query(f"""{with_sql('lonlat')}, b AS (SELECT event_id, lon, lat, least(lon + 0.05, 179.9) AS lon1, greatest(lat - 0.05, -84.9) AS lat1, 12 AS z FROM lonlat),
 a AS (SELECT event_id, {_TILE_XY} FROM b), c AS (SELECT event_id, {_TILE_XY} FROM (SELECT event_id, lon1 AS lon, lat1 AS lat, z FROM b))
-SELECT a.event_id, gx AS x, gy AS y FROM a JOIN c ON a.event_id = c.event_id, unnest(range(a.x, c.x + 1)) AS r(gx), unnest(range(a.y, c.y + 1)) AS s(gy)""")
+SELECT a.event_id, gx - a.x AS ix, gy - a.y AS iy, gx AS x, gy AS y, round(a.x * (40075016.68557849::DOUBLE / 4096) - 20037508.342789244::DOUBLE, 3) AS xmin, round(20037508.342789244::DOUBLE - (c.y + 1) * (40075016.68557849::DOUBLE / 4096), 3) AS ymin
+FROM a JOIN c ON a.event_id = c.event_id, unnest(range(a.x, c.x + 1)) AS r(gx), unnest(range(a.y, c.y + 1)) AS s(gy)""")
 def tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Map tiles of a box at a zoom, from its upper left to its lower right."""
+    """Map tiles of a box at a zoom, from its upper left to its lower right, with their place in the range and the range's lower left corner."""
     z = F.lit(12)
-    rows = fx.lonlat(spark, sf_dir).where("event_id % 50 = 0").selectExpr("event_id", "lon", "lat", "least(lon + 0.05D, 179.9D) AS lon1", "greatest(lat - 0.05D, -84.9D) AS lat1")
+    rows = fx.lonlat(spark, sf_dir).selectExpr("event_id", "lon", "lat", "least(lon + 0.05D, 179.9D) AS lon1", "greatest(lat - 0.05D, -84.9D) AS lat1")
     x0, y0 = mercator.lonlat_to_tile(F.col("lon"), F.col("lat"), z)
     x1, y1 = mercator.lonlat_to_tile(F.col("lon1"), F.col("lat1"), z)
-    rows = rows.select("event_id", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).where("x0 <= x1 AND y0 <= y1")
-    return rows.select("event_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1").select("event_id", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
+    rows = rows.select("event_id", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    box = mercator.range_bounds(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], z)
+    tiles = grid.tile_range(rows.withColumn("xmin", box[0]).withColumn("ymin", box[1]), "x0", "y0", "x1", "y1")
+    return _round(tiles.select("event_id", "ix", "iy", "x", "y", "xmin", "ymin"), "xmin", "ymin", places=3)
 
 
 @query(f"""{with_sql('lonlat')} SELECT event_id, round(radians(lon) * 6378137.0::DOUBLE, 3) + 0.0 AS mx, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0::DOUBLE, 3) + 0.0 AS my, round(lon, 6) + 0.0 AS lon, round(lat, 6) + 0.0 AS lat FROM lonlat""")
@@ -525,14 +527,17 @@ def line_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""{with_sql('planted')}, n AS (SELECT g, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (id % 4 <> 3) AS INTEGER) AS good, avg(id % 10 / 10::DOUBLE) FILTER (id % 4 <> 3) AS conf FROM planted GROUP BY g)
+SELECT g, n, CASE WHEN good < 4 THEN 0 ELSE good END AS inliers, CASE WHEN good >= 4 THEN round(conf, 6) END AS mean_conf, CAST(k - 1 AS INTEGER) AS pos, CASE WHEN good >= 4 THEN [2.0, 0.1, 3.0, -0.1, 2.0, 7.0, 0.0, 0.0, 1.0][k]::DOUBLE END AS h FROM n, (SELECT unnest(range(1, 10)) AS k)""")
 def homography_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A planted transform with a quarter of outliers; tests hold it against the truth."""
+    """A planted transform with a quarter of outliers: its coefficients, inliers and their confidence."""
     wrong = F.col("id") % 4 == 3
-    matches = fx.planted(spark, sf_dir).select("g", F.col("u").alias("x0"), F.col("v").alias("y0"), F.when(wrong, F.col("v") * 3 + 50).otherwise(F.col("x")).alias("x1"),
-                                               F.when(wrong, F.col("u") + 90).otherwise(F.col("y")).alias("y1"), F.lit(0.5).alias("conf"))
-    fitted = homography.fit_homographies(matches, ["g"], threshold=1.0)
-    return fitted.select("g", "inliers", "n", F.transform("h", lambda x: F.round(x, 6)).alias("h"))
+    matches = fx.planted(spark, sf_dir).select("g", F.col("u").alias("x0"), F.col("v").alias("y0"), F.when(wrong, F.col("v") * 30 + 5000).otherwise(F.col("x")).alias("x1"),
+                                               F.when(wrong, F.col("u") * 17 + F.col("id") * 97).otherwise(F.col("y")).alias("y1"), (F.col("id") % 10 / 10.0).alias("conf"))
+    fitted = homography.fit_homographies(matches, ["g"])
+    none = F.array_repeat(F.lit(None).cast("double"), 9)
+    out = fitted.select("g", "n", "inliers", "mean_conf", F.posexplode(F.coalesce("h", none)).alias("pos", "h"))
+    return _round(_round(out, "mean_conf"), "h", places=4)
 
 
 _ORDER = "cand, rot, pk, sk"
@@ -549,16 +554,16 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{with_sql('ranked')}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY ln, pk, sk) AS rk FROM ranked),
-s AS (SELECT q, min(rk) AS stop FROM r WHERE score > 0.95 GROUP BY q), k AS (SELECT r.* FROM r LEFT JOIN s USING (q) WHERE stop IS NULL OR rk <= stop),
+s AS (SELECT q, min(rk) AS stop FROM r WHERE score > 0.99 GROUP BY q), k AS (SELECT r.* FROM r LEFT JOIN s USING (q) WHERE stop IS NULL OR rk <= stop),
 b AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, rk) AS n FROM k) SELECT q, ln, pk, sk, score FROM b WHERE n = 1""")
 def best_until_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.best_until_stop(fx.ranked(spark, sf_dir), "q", "score", ["ln", "pk", "sk"], stop=0.95).select("q", "ln", "pk", "sk", "score")
+    return selection.best_until_stop(fx.ranked(spark, sf_dir), "q", "score", ["ln", "pk", "sk"]).select("q", "ln", "pk", "sk", "score")
 
 
-@query(f"{with_sql('attempts')}, r AS (SELECT *, row_number() OVER (PARTITION BY q, cand ORDER BY rot, pk, sk) AS n FROM attempts WHERE score > 0.9 AND abs(ang) <= 45) SELECT q, cand, rot, pk, sk, score FROM r WHERE n = 1 AND cand <= 4 AND cand = (SELECT min(cand) FROM r r2 WHERE r2.q = r.q AND r2.n = 1)")
+@query(f"{with_sql('attempts')}, r AS (SELECT *, row_number() OVER (PARTITION BY q, cand ORDER BY rot, pk, sk) AS n FROM attempts WHERE score > 0.9 AND abs(ang) <= 45) SELECT q, cand, rot, pk, sk, score FROM r WHERE n = 1 AND cand = (SELECT min(cand) FROM r r2 WHERE r2.q = r.q AND r2.n = 1)")
 def batched_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The early exit in batches of two candidates: the same result as trying them one by one."""
-    attempts = fx.attempts(spark, sf_dir).where("cand <= 4")
+    attempts = fx.attempts(spark, sf_dir)
 
     def verify(batch: DataFrame) -> DataFrame:
         passed = selection.gated(batch)
@@ -625,11 +630,11 @@ def missing_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.missing_tiles(wanted, wanted.where("(x + y) % 3 = 0"))
 
 
-@query("""WITH w AS (SELECT e.event_id % 20 AS area, e.event_id % 13 AS x, e.event_id % 11 AS y FROM events e WHERE event_id < 400), d AS (SELECT DISTINCT area, x, y FROM w),
+@query("""WITH w AS (SELECT e.event_id % 20 AS area, e.event_id % 13 AS x, e.event_id % 11 AS y FROM events e), d AS (SELECT DISTINCT area, x, y FROM w),
 t AS (SELECT DISTINCT x, y, (x * 3 + y) / 2 AS value FROM d WHERE (x + y) % 4 <> 0), f AS (SELECT area, min(x) AS mx, min(y) AS my FROM d GROUP BY area)
 SELECT d.area, d.x, d.y, (d.x - mx) * 256 AS px, (d.y - my) * 256 AS py, coalesce(value, 0) AS value FROM d JOIN f ON f.area = d.area LEFT JOIN t ON t.x = d.x AND t.y = d.y""")
 def tile_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = fx.table(spark, sf_dir, "events").where("event_id < 400").selectExpr("event_id % 20 AS area", "event_id % 13 AS x", "event_id % 11 AS y").distinct()
+    wanted = fx.table(spark, sf_dir, "events").selectExpr("event_id % 20 AS area", "event_id % 13 AS x", "event_id % 11 AS y").distinct()
     fetched = wanted.where("(x + y) % 4 <> 0").selectExpr("x", "y", "(x * 3 + y) / 2D AS value").distinct()
     return raster.placed(wanted, fetched, ["area"])
 
@@ -642,17 +647,18 @@ def chip_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT x, y, c, round(CASE c % 4 WHEN 0 THEN sin((x + 1) * exp(-2.0::DOUBLE * (c // 4))) WHEN 1 THEN cos((x + 1) * exp(-2.0::DOUBLE * (c // 4))) WHEN 2 THEN sin((y + 1) * exp(-2.0::DOUBLE * (c // 4))) ELSE cos((y + 1) * exp(-2.0::DOUBLE * (c // 4))) END, 6) + 0.0 AS pe
-FROM (SELECT CAST(vec_id % 10 AS INTEGER) AS x, CAST(vec_id // 10 AS INTEGER) AS y FROM embeddings WHERE vec_id < 100), (SELECT CAST(unnest(range(16)) AS INTEGER) AS c)""")
+FROM (SELECT CAST(vec_id % 10 AS INTEGER) AS x, CAST(vec_id // 10 AS INTEGER) AS y FROM embeddings), (SELECT CAST(unnest(range(16)) AS INTEGER) AS c)""")
 def position_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = fx.table(spark, sf_dir, "embeddings").where("vec_id < 100").selectExpr("CAST(vec_id % 10 AS INT) AS x", "CAST(vec_id div 10 AS INT) AS y")
+    cells = fx.table(spark, sf_dir, "embeddings").selectExpr("CAST(vec_id % 10 AS INT) AS x", "CAST(vec_id div 10 AS INT) AS y")
     cells = cells.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(15))))
     return _round(cells.withColumn("pe", matching.position_encoding(F.col("x"), F.col("y"), F.col("c"))), "pe")
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id % 10 BETWEEN 2 AND label % 5 + 4 - 1 AND vec_id // 10 BETWEEN 2 AND 40 - 2 - 1")
+@query("WITH h AS (SELECT (max(vec_id) + 1) // 10 AS rows FROM embeddings) SELECT vec_id FROM embeddings, h WHERE vec_id % 10 BETWEEN 2 AND label % 5 + 4 - 1 AND vec_id // 10 BETWEEN 2 AND rows - 2 - 1")
 def masked_border(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = fx.table(spark, sf_dir, "embeddings")
-    return v.where(matching.off_padding(F.col("vec_id"), 10, F.col("label") % 5 + 6, F.lit(40))).select("vec_id")
+    rows = (v.agg(F.max("vec_id").alias("m")).first()["m"] + 1) // 10
+    return v.where(matching.off_padding(F.col("vec_id"), 10, F.col("label") % 5 + 6, F.lit(rows))).select("vec_id")
 
 
 @query(f"""{with_sql('chips')} SELECT chip_id, p_partkey AS crop_id FROM chips JOIN part ON replace(name, '.png', '') = p_partkey || '_SAT_' || lpad((44 + p_size * 3)::VARCHAR, 3, '0') WHERE p_partkey % 2 = 0""")
@@ -687,13 +693,13 @@ SELECT l.id, n_name AS scene_name, before || '-' || after AS change, CASE WHEN b
 def change_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of a change layer with the scene that they belong to."""
     layer = fx.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_nationkey AS n_nationkey", "CAST(s_suppkey % 4 AS STRING) AS before", "CAST(s_suppkey % 3 AS STRING) AS after")
-    rows = layer.join(fx.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("scene_name")), "n_nationkey")
-    return rows.select("id", "scene_name", F.concat_ws("-", "before", "after").alias("change"), F.when(F.col("before") == F.col("after"), 0).otherwise(1).alias("output"))
+    rows = spatial.change_pairs(layer, fx.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("scene_name")), "n_nationkey")
+    return rows.select("id", "scene_name", "change", "output")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank the base tiles of each query by descriptor, then route their quads."""
     base = fx.table(spark, sf_dir, "embeddings")
-    top = search.rank_tiles(base, base.where("vec_id < 20"), k=10)
+    top = search.rank_tiles(base, base.where("vec_id % 20 = 0"), k=10)
     scored = _scored_quads(spark, sf_dir).where("simple").groupBy((F.col("pk") % 500).alias("tile_id")).agg(F.max("score").alias("score"))
     return _round(sinks.with_status(top.join(scored, "tile_id", "left").fillna(0.0, ["score"])).select("query_id", "rank", "tile_id", "d2", "score", "status"), "d2", "score")

@@ -34,7 +34,7 @@ def lonlat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_nationkey AS cls", "s_suppkey * 37 % 1000 AS x0", "s_suppkey * 91 % 1000 AS y0")
+    out = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_nationkey AS cls", "s_suppkey * 37 % 1000 + s_suppkey div 1000 * 1100 AS x0", "s_suppkey * 91 % 1000 AS y0")
     return out.selectExpr("*", "x0 + 80 AS x1", "y0 + 60 AS y1")
 
 
@@ -83,7 +83,7 @@ SQL = {
     "small_scenes": "SELECT p_partkey AS scene_id, p_size * 37 + 200 AS width, p_size * 29 + 180 AS height FROM part",
     "chips": "SELECT p_partkey AS chip_id, p_size * 41 + 200 AS width, CAST(p_partkey % 97 * 11 + 150 AS INTEGER) AS height, p_partkey::VARCHAR || '_SAT_' || lpad((44 + p_size * 3)::VARCHAR, 3, '0') || '.png' AS name FROM part",
     "lonlat": "SELECT event_id, event_id * 7919 % 360000 / 1000 - 180 AS lon, event_id * 104729 % 170000 / 1000 - 85 AS lat FROM events",
-    "boxes": "SELECT s_suppkey AS id, s_nationkey AS cls, s_suppkey * 37 % 1000 AS x0, s_suppkey * 91 % 1000 AS y0, s_suppkey * 37 % 1000 + 80 AS x1, s_suppkey * 91 % 1000 + 60 AS y1 FROM supplier",
+    "boxes": "SELECT s_suppkey AS id, s_nationkey AS cls, s_suppkey * 37 % 1000 + s_suppkey // 1000 * 1100 AS x0, s_suppkey * 91 % 1000 AS y0, x0 + 80 AS x1, y0 + 60 AS y1 FROM supplier",
     "points": "SELECT event_id, event_id % 1013 - 200 AS px, event_id % 977 - 300 AS py FROM events",
     "quads": "SELECT l_orderkey AS ok, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk, pk % 17 AS ax, sk % 13 AS ay, 200 + pk % 29 - pk % 7 * 25 AS fx, ok % 31 AS fy, 190 + sk % 41 AS cx, 150 + ok % 23 AS cy, ok % 19 AS dx, 140 + pk % 37 - sk % 5 * 40 AS dy FROM lineitem",
     "attempts": "SELECT l_orderkey AS q, l_linenumber AS cand, rot, l_partkey AS pk, l_suppkey AS sk, (pk * 7 + sk * 3 + rot * 11) % 100 / 100 AS score, CAST((sk * 5 + rot * 90) % 360 - 180 AS DOUBLE) AS ang FROM lineitem, (SELECT CAST(unnest(range(4)) AS INTEGER) AS rot)",

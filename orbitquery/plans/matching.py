@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import affine, quad
@@ -18,22 +18,26 @@ from ..sources.config import Settings
 
 
 def base_tiles(scenes: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """level, id, scene_id, stx, sty, cut: the windows of all scenes at every level, numbered in scene order."""
+    """level, id, scene_id, stx, sty, cut: the windows of all scenes at every level, numbered by level, scene and place."""
     s = settings or Settings()
-    leveled = grid.with_levels(scenes, s.levels, s.cut_size)
+    leveled = grid.with_levels(scenes.select("scene_id", "width", "height"), s.levels, s.cut_size)
     cut = F.least(F.col("level_cut"), grid.clamp_cut(1 << 30, F.col("width"), F.col("height")))
-    tiles = grid.tile_grid(leveled, cut=cut, overlap=s.overlap, drop_last=s.drop_last)
-    return grid.sequential_ids(tiles.select("level", "scene_id", "stx", "sty", "cut"), ["level", "scene_id", "stx", "sty"])
+    tiles = grid.numbered_tiles(leveled, ["level", "scene_id"], cut=cut, overlap=s.overlap, drop_last=s.drop_last)
+    return tiles.select("level", "scene_id", "stx", "sty", "cut", "id")
 
 
-def without_retrieval(queries: DataFrame, tiles: DataFrame) -> DataFrame:
+def without_retrieval(queries: DataFrame, tiles: DataFrame, salts: int = 16) -> DataFrame:
     """Every tile of a query's level as a candidate, in id order: for small bases, or where descriptors are missing.
 
-    queries: query_id, level; tiles: id, level. The pairs are the product within a level, by an equi-join.
+    queries: query_id, level; tiles: id, level.  The pairs are the product within a level by
+    definition; a tile's rank is its place in its level, so tiles are numbered once and the
+    product is neither sorted nor kept together.  `salts` spreads a level over tasks.
     """
-    order = Window.partitionBy("query_id").orderBy("tile_id")
-    pairs = queries.select("query_id", "level").join(tiles.select(F.col("id").alias("tile_id"), "level"), "level")
-    return pairs.select("query_id", "tile_id", F.row_number().over(order).alias("rank"))
+    numbered = grid.sequential_ids(tiles.select("level", F.col("id").alias("tile_id")).where("level is not null"), ["level", "tile_id"], "at")
+    first = numbered.groupBy("level").agg(F.min("at").alias("first"))
+    placed = numbered.join(first, "level").withColumn("salt", F.pmod("at", F.lit(salts)).cast("int"))
+    asked = queries.select("query_id", "level", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return asked.join(placed, ["level", "salt"]).select("query_id", "tile_id", (F.col("at") - F.col("first") + 1).cast("int").alias("rank"))
 
 
 def coarse_matches(candidates: DataFrame, chip_cells: DataFrame, tile_cells: DataFrame, columns: int, rows: int, scale: float, settings: Settings | None = None) -> DataFrame:
@@ -104,6 +108,44 @@ def fine_windows(located: DataFrame, tiles: DataFrame, fine_tiles: DataFrame, se
     return spatial.bounded_sample(pairs, ["query_id"], F.struct(F.xxhash64("id", F.lit(s.sample_seed)), "id"), s.most_windows)
 
 
+def rematch(attempts: DataFrame, windows: DataFrame, query: str, order: Sequence[str], by: Column, settings: Settings | None = None) -> DataFrame:
+    """The fine re-match and its router: one row with a status for each query that has a valid attempt.
+
+    attempts: query, place, order columns and score of each try in a finer window (score
+    null where no homography fitted, which counts as no try); windows: query, place (the window).  A
+    query tries at most `most_windows` of its windows, in a seeded order (`by`); the best
+    score wins, and the search ends with the first above `early_stop`.  Then accepted,
+    candidate or rejected.
+    """
+    s = settings or Settings()
+    chosen = spatial.bounded_sample(windows.select(query, "place").distinct(), [query], by, s.most_windows)
+    tried = attempts.join(chosen, [query, "place"]).where(F.col("score").isNotNull())
+    best = selection.best_until_stop(tried, query, "score", order, s.early_stop)
+    return best.withColumn("status", F.when(F.col("score") > s.accepted, "accepted").when(F.col("score") > s.candidate, "candidate").otherwise("rejected"))
+
+
+def refined(found: DataFrame, windows: DataFrame, query: str, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """After a run: results to show (accepted rows, and of the other queries the best candidate), and what an accepted row makes void.
+
+    found: the rows of rematch() of several runs; windows are the places that it was looked for in.
+    """
+    accepted = selection.first_success(found.where("status = 'accepted'"), query, [F.desc("score"), *order])
+    rest = selection.pending(found.where("status = 'candidate'"), accepted, [query])
+    shown = accepted.unionByName(selection.best_candidate(rest, query, "score", order))
+    return shown.join(windows.select(query).distinct(), query, "left_semi"), sinks.superseded(found, query)
+
+
+def descriptor_index(tiles: DataFrame, extract: Callable[[DataFrame], DataFrame], done: DataFrame | None = None) -> DataFrame:
+    """level, id, embedding and features of every tile not in `done`: the entry that feeds the ranking and the matcher.
+
+    extract gives id, level, embedding and features of the tiles it gets; tiles that are
+    described already are left out before it, so that a run can go on where one ended.
+    """
+    left = tiles if done is None else selection.pending(tiles, done, ["level", "id"])
+    made = extract(left).select("level", "id", "embedding", "features")
+    return made if done is None else done.select("level", "id", "embedding", "features").unionByName(made)
+
+
 def report(results: DataFrame, corners: Sequence[str]) -> DataFrame:
     """Accepted results as lines; corners names the eight corner columns in order."""
     pairs = [(F.col(corners[k]), F.col(corners[k + 1])) for k in range(0, 8, 2)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, fields
 
 
@@ -35,3 +36,60 @@ class Settings:
         """Known keys of a parsed configuration; the others go to `more`."""
         known = {f.name for f in fields(cls)} - {"more"}
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items() if k in known}, more={k: v for k, v in values.items() if k not in known})
+
+    @classmethod
+    def read(cls, path: str) -> "Settings":
+        """The settings of a YAML file: nested mappings, lists and plain values."""
+        with open(path, encoding="utf-8") as source:
+            return cls.load(parsed(source.read()))
+
+
+def _value(text: str):
+    text = text.strip()
+    if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"":
+        return text[1:-1]
+    if text.startswith("[") and text.endswith("]"):
+        return [_value(x) for x in text[1:-1].split(",") if x.strip()]
+    if text.lower() in ("", "null", "~"):
+        return None
+    if text.lower() in ("true", "false"):
+        return text.lower() == "true"
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+def parsed(text: str):
+    """The part of YAML that settings use: block mappings and lists by indentation, flow lists of plain values, comments."""
+    lines = []
+    for line in text.splitlines():
+        bare = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        if bare.strip():
+            lines.append((len(bare) - len(bare.lstrip()), bare.strip()))
+
+    def block(at: int, indent: int):
+        found: dict | list | None = None
+        while at < len(lines) and lines[at][0] >= indent:
+            body = lines[at][1]
+            if body.startswith("- "):
+                found = [] if found is None else found
+                found.append(_value(body[2:]))
+                at += 1
+                continue
+            key, _, value = body.partition(":")
+            found = {} if found is None else found
+            at += 1
+            if value.strip():
+                found[_value(key)] = _value(value)
+            elif at < len(lines) and (lines[at][0] > indent or lines[at][0] == indent and lines[at][1].startswith("- ")):
+                found[_value(key)], at = block(at, lines[at][0])
+            else:
+                found[_value(key)] = None
+            if at < len(lines) and isinstance(found, dict) and lines[at][0] == indent and lines[at][1].startswith("- "):
+                break
+        return found, at
+
+    return (block(0, lines[0][0])[0] if lines else None) or {}

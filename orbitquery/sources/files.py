@@ -68,6 +68,23 @@ def missing_tiles(wanted: DataFrame, cached: DataFrame) -> DataFrame:
     return wanted.join(cached.select("z", "x", "y").distinct(), ["z", "x", "y"], "left_anti")
 
 
+def fetched(wanted: DataFrame, cached: DataFrame, fetch: Callable[[int, int, int], bytes | None]) -> DataFrame:
+    """z, x, y, content of all wanted tiles: the cache's rows, and fetch(z, x, y) for those that it lacks.
+
+    A tile that cannot be had (None) has no row.  The caller appends the new rows to the cache.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            got = [(z, x, y, fetch(z, x, y)) for z, x, y in rows.itertuples(index=False)]
+            yield pd.DataFrame([g for g in got if g[3] is not None], columns=["z", "x", "y", "content"])
+
+    keys = wanted.select(*[F.col(c).cast("int") for c in "zxy"]).distinct()
+    new = missing_tiles(keys, cached).mapInPandas(run, "z int, x int, y int, content binary")
+    old = cached.join(keys, ["z", "x", "y"], "left_semi").select(*[F.col(c).cast("int") for c in "zxy"], "content")
+    return old.unionByName(new)
+
+
 def store_options(spark: SparkSession, prefix: str = "spark.hadoop.fs.s3a.") -> list[str]:
     """Names (never values) of the object-store settings that the session carries."""
     return sorted(k for k, _ in spark.sparkContext.getConf().getAll() if k.startswith(prefix))

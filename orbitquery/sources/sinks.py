@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quad
+from . import geojson
 
 
 def write_tiles(tiles: DataFrame, path: str) -> None:
@@ -37,3 +38,20 @@ def result_line(name: Column, corners: list[tuple[Column, Column]], places: int
 def write_report(results: DataFrame, path: str) -> None:
     """Lines of accepted results; needs a column `line`."""
     results.where("status = 'accepted'").select("line").write.mode("overwrite").text(path)
+
+
+def write_footprints(footprints: DataFrame, path: str) -> None:
+    """Scene footprints (scene_id, ring), those that enclose something, as Parquet in scene order."""
+    footprints.where(quad.non_empty(geojson.open_ring(F.col("ring")))).repartitionByRange("scene_id").sortWithinPartitions("scene_id").write.mode("overwrite").parquet(path)
+
+
+def write_log(entries: DataFrame, path: str) -> None:
+    """Job log entries (job, time, state and whatever else) as JSON lines, one folder a day: new entries are added, old days can go."""
+    entries.withColumn("day", F.to_date("time")).write.mode("append").partitionBy("day").json(path)
+
+
+def job_states(log: DataFrame) -> DataFrame:
+    """job, state, time, entries, seconds: the last state of each job, and how long it has been logged."""
+    last = F.max(F.struct("time", "state"))
+    times = F.max("time").cast("timestamp").cast("double") - F.min("time").cast("timestamp").cast("double")
+    return log.groupBy("job").agg(last["state"].alias("state"), last["time"].alias("time"), F.count("*").alias("entries"), times.alias("seconds"))

@@ -1,6 +1,6 @@
 import pytest
 
-from orbitquery.plans import catalogue
+from orbitquery.plans import catalogue, geometry  # noqa: F401  geometry adds its queries to the catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE))

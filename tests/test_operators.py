@@ -2,12 +2,14 @@ import json
 import math
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from orbitquery import tables
 from orbitquery.functions import affine, mercator, quad
-from orbitquery.operators import grid, homography, matching, search, selection, spatial
+from orbitquery.operators import grid, homography, matching, raster, search, selection, spatial
 from orbitquery.sources import files, geojson, sinks
 from orbitquery.sources.config import Settings
 from orbitquery.streaming import chips
@@ -52,7 +54,9 @@ def test_sequential_ids_are_gapless(spark):
     assert all(r["id"] == r["v"] for r in df.collect())
     some = spark.range(20_000).selectExpr("id % 3 AS a", "CAST(id * 7919 % 20011 AS STRING) AS b")
     want = {tuple(r): k for k, r in enumerate(sorted(some.collect()))}
-    assert all(r["id"] == want[r["a"], r["b"]] for r in grid.sequential_ids(some, ["a", "b"], rows=1000).collect())
+    assert all(r["id"] == want[r["a"], r["b"]] for r in grid.sequential_ids(some, ["a", "b"]).collect())
+    clash = spark.range(50).selectExpr("id % 7 AS _part", "id AS _place")
+    assert sorted(r["id"] for r in grid.sequential_ids(clash, ["_part"]).collect()) == list(range(50))
     assert grid.sequential_ids(spark.range(0).select(F.col("id").alias("v")), ["v"]).count() == 0
 
 
@@ -129,6 +133,116 @@ def test_batched_early_exit_is_the_sequential_result(spark):
     assert got == {q: r for q, r in want.items() if r is not None}
 
 
+def test_unusable_vectors_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 1.0]), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, None), (8, []), (1, [1.0, 0.0])]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (None, 5):
+        got = sorted(map(tuple, search.rank_tiles(base, base, k=k).collect()))
+        assert got == [(1, 1, 1, 0.0), (1, 2, 1, 0.0), (1, 3, 2, 2.0), (2, 1, 2, 0.0), (2, 2, 1, 2.0), (2, 3, 1, 2.0)]
+    plain = search.rank_tiles(base, base.where("vec_id = 3"), normalise=False).collect()
+    assert sorted((r["tile_id"], r["d2"]) for r in plain) == [(1, 1.0), (1, 1.0), (2, 1.0), (3, 0.0)]
+
+
+def test_equal_chips_get_the_same_levels(spark):
+    one = spark.createDataFrame([(1, 1000, 1000, 0.5)], "chip_id int, width int, height int, res double")
+    levels = [r["level"] for r in grid.chip_levels(one, [3, 0, 1, 2, 4], 0.25).collect()]
+    assert sorted(levels) == [1, 2, 3, 4]
+    assert sorted(r["level"] for r in grid.chip_levels(one.unionByName(one), range(5), 0.25).collect()) == sorted(levels * 2)
+
+
+def test_tiles_are_numbered_like_sorted_rows(spark):
+    rows = [(int(i), int(w), int(h), "x") for i, (w, h) in enumerate(np.random.default_rng(4).integers(100, 3000, (200, 2)))]
+    scenes = spark.createDataFrame(rows, "scene_id int, width int, height int, _part string").repartition(7)
+    got = grid.numbered_tiles(scenes, ["scene_id"]).collect()
+    want = sorted((r["scene_id"], r["stx"], r["sty"]) for r in grid.tile_grid(scenes).collect())
+    assert [(r["scene_id"], r["stx"], r["sty"]) for r in sorted(got, key=lambda r: r["id"])] == want
+    assert [r["id"] for r in sorted(got, key=lambda r: r["id"])] == list(range(len(want)))
+    assert grid.numbered_tiles(scenes.limit(0), ["scene_id"]).count() == 0
+
+
+def test_centred_windows_stay_inside_and_around(spark):
+    rng = np.random.default_rng(6)
+    rows = [(float(a), float(a + w), float(n)) for a, w, n in zip(rng.integers(0, 500, 200), rng.integers(0, 400, 200), rng.integers(50, 1200, 200), strict=True) if a + w <= n]
+    low, high = grid.centred_window(F.col("a"), F.col("b"), 300, F.lit(0.0), F.col("n"))
+    for r in spark.createDataFrame(rows, "a double, b double, n double").select("a", "b", "n", low.alias("lo"), high.alias("hi")).collect():
+        assert 0 <= r["lo"] <= r["a"] and r["b"] <= r["hi"] <= r["n"] and r["hi"] - r["lo"] == max(min(300, r["n"]), r["b"] - r["a"])
+
+
+def test_batches_do_not_run_again(spark):
+    """Each batch scans the candidates once, however many came before it."""
+    ranked = spark.createDataFrame([(q, r) for q in range(3) for r in range(1, 13)], "query_id int, rank int")
+    got = selection.match_in_batches(ranked, lambda b: b.where("rank = 11 AND query_id = 2"), size=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert [(r["query_id"], r["rank"]) for r in got.collect()] == [(2, 11)] and plan.count("Scan ExistingRDD") == 0 and plan.count("FileScan") <= 6
+
+
+def test_clipped_polygons(spark):
+    def inside(p, ring):
+        turn = np.sign(sum(ring[k - 1][0] * ring[k][1] - ring[k][0] * ring[k - 1][1] for k in range(len(ring))))
+        return all(turn * ((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])) >= 0 for a, b in zip(ring, [*ring[1:], ring[0]], strict=True))
+
+    rng = np.random.default_rng(9)
+    at = np.stack(np.meshgrid(np.arange(0, 10, 0.05), np.arange(0, 10, 0.05)), -1).reshape(-1, 2) + 0.025
+    rows = []
+    for _ in range(8):
+        rings = []
+        for n in (4, 3):
+            angles = np.sort(rng.random(n) * 2 * np.pi)
+            rings.append([(5 + 4 * np.cos(t) + rng.normal() * 0.1, 5 + 4 * np.sin(t)) for t in angles][:: rng.choice([1, -1])])
+        a, b = (np.array([inside(p, r) for p in at]) for r in rings)
+        rows.append((*[[{"x": float(x), "y": float(y)} for x, y in r] for r in rings], float((a & b).sum() * 0.0025), float((a & b).sum() / (a | b).sum())))
+    rows.append(([{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 0.0, "y": 1.0}], [{"x": 5.0, "y": 5.0}, {"x": 6.0, "y": 5.0}, {"x": 5.0, "y": 6.0}], 0.0, 0.0))
+    df = spark.createDataFrame(rows, "a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>, area double, iou double")
+    got = df.select("area", "iou", F.abs(quad.signed_area(quad.clipped(F.col("a"), F.col("b")))).alias("area2"), quad.polygon_iou(F.col("a"), F.col("b")).alias("iou2")).collect()
+    assert all(abs(r["area"] - r["area2"]) < 0.2 and abs(r["iou"] - r["iou2"]) < 0.02 for r in got) and sum(r["area"] > 1 for r in got) >= 4
+
+
+def test_parts_of_geometries(spark):
+    docs = ['{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1]],[[0,0],[0.1,0],[0.1,0.1]]]}', '{"type":"MultiPolygon","coordinates":[[[[0,0],[2,0],[2,2]]],[[[5,5],[6,5],[6,6],[5,5]]]]}', '{"type":"Point","coordinates":[1,2]}', '{"type":"MultiPolygon","coordinates":[]}', None]
+    got = [r["p"] for r in spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "k int, d string").orderBy("k").select(geojson.parts(F.col("d")).alias("p")).collect()]
+    assert [None if p is None else [len(r) for r in p] for p in got] == [[3], [3, 4], [], [], None]
+    assert one(spark, quad.non_empty(F.lit(None).cast("array<struct<x:double,y:double>>")).alias("e"))["e"] is False
+
+
+def test_slack_takes_what_matches_nothing(spark):
+    rng = np.random.default_rng(2)
+    dots = rng.normal(size=(5, 4)) * 0.3
+    df = spark.createDataFrame([(0, i, j, float(v)) for (i, j), v in np.ndenumerate(dots)], "p int, i int, j int, dot double")
+    full = np.exp(np.pad(dots, ((0, 1), (0, 1)), constant_values=0.1) / 0.1)
+    rows, columns = np.append(np.ones(5), 4.0), np.append(np.ones(4), 5.0)
+    c = np.ones(5)
+    for _ in range(3):
+        r = rows / (full @ c)
+        c = columns / (full.T @ r)
+    want = (full * r[:, None] * c)[:5, :4]
+    got = {(x["i"], x["j"]): x["conf"] for x in matching.sinkhorn_with_slack(df, "p", 0.1, 3, 0.1).collect()}
+    assert all(math.isclose(got[i, j], v, rel_tol=1e-9) for (i, j), v in np.ndenumerate(want))
+
+
+def test_shared_folder(spark, monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "yarn"
+
+            class _jsc:
+                class sc:
+                    class getCheckpointDir:
+                        isDefined = staticmethod(lambda: False)
+
+    with pytest.raises(ValueError):
+        tables.shared_dir(Session)
+    assert tables.free_name(spark.range(1).selectExpr("id AS _Part", "id AS __part"), "part") == "___part"
+
+
+def test_connected_parts(spark):
+    cells = [(0, x, 0) for x in range(9)] + [(0, 8, y) for y in range(5)] + [(0, 3, 4), (1, 0, 0), (1, 1, 1)]
+    got = {(r["k"], r["cx"], r["cy"]): (r["part_x"], r["part_y"]) for r in raster.connected_parts(spark.createDataFrame(cells, "k int, cx int, cy int"), ["k"]).collect()}
+    assert {v for k, v in got.items() if k[0] == 0 and k[1:] != (3, 4)} == {(0, 0)} and got[0, 3, 4] == (3, 4) and got[1, 1, 1] == (1, 1)
+
+
 def test_geojson(spark):
     text = geojson.box_polygon(*[F.lit(float(v)) for v in (1, 2, 3, 4)])
     assert json.loads(one(spark, text.alias("t"))["t"])["type"] == "Polygon"
@@ -150,7 +264,11 @@ def test_files_and_stream(spark, tmp_path):
     assert images.count() == 3
     for _ in range(2):  # the second run finds nothing new
         chips.match_stream(chips.incoming_chips(spark, str(tmp_path / "in")), lambda d: d, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = {r["orgname"]: (r["part"], r["res"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    (tmp_path / "in" / "2-b_SAT_100.png").write_bytes(b"y")  # a piece of a chip that is solved, and a new chip
+    (tmp_path / "in" / "d_SAT_100.png").write_bytes(b"y")
+    chips.match_stream(chips.incoming_chips(spark, str(tmp_path / "in")), lambda d: d, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert sorted(r["name"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1-b_SAT_100.png", "a_SAT_056.PNG", "d_SAT_100.png"]
+    got = {r["orgname"]: (r["part"], r["res"]) for r in spark.read.parquet(str(tmp_path / "out")).where("batch = 0").collect()}
     assert got == {"b_SAT_100.png": (1, 1.0), "a_SAT_056.PNG": (None, 0.56)}
 
 
@@ -169,3 +287,22 @@ def test_scenes_hook_and_settings(spark, tmp_path):
     assert len(got) == 1 and got[0]["width"] == 5
     s = Settings.load({"cut_size": 256, "levels": [0, 1], "other": 1})
     assert s.cut_size == 256 and s.levels == (0, 1) and s.more == {"other": 1}
+    text = "# base\ncut_size: 256\nlevels:\n  - 0\n  - 2\nextensions: ['.tif', .png]\nstage:  # nested\n  path: /a/b\n  deep:\n    on: true\nempty:\nrate: 0.5\n"
+    (tmp_path / "s.yaml").write_text(text)
+    s = Settings.read(str(tmp_path / "s.yaml"))
+    assert s.cut_size == 256 and s.levels == (0, 2) and s.extensions == (".tif", ".png")
+    assert s.more == {"stage": {"path": "/a/b", "deep": {"on": True}}, "empty": None, "rate": 0.5}
+
+
+def test_fetching_logging_and_footprints(spark, tmp_path):
+    wanted = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (1, 1, 1), (1, 1, 1)], "z int, x int, y int")
+    cached = spark.createDataFrame([(1, 0, 0, b"old"), (9, 9, 9, b"far")], "z int, x int, y int, content binary")
+    got = {(r["x"], r["y"]): bytes(r["content"]) for r in files.fetched(wanted, cached, lambda z, x, y: None if y else b"new").collect()}
+    assert got == {(0, 0): b"old", (1, 0): b"new"}
+    log = spark.createDataFrame([("a", "2024-01-01 10:00:00", "start"), ("a", "2024-01-02 10:00:30", "done"), ("b", "2024-01-01 11:00:00", "start")], "job string, time string, state string").withColumn("time", F.to_timestamp("time"))
+    sinks.write_log(log, str(tmp_path / "log"))
+    assert sorted(p.name for p in (tmp_path / "log").iterdir() if p.name.startswith("day=")) == ["day=2024-01-01", "day=2024-01-02"]
+    assert {r["job"]: (r["state"], r["seconds"]) for r in sinks.job_states(log).collect()} == {"a": ("done", 86430.0), "b": ("start", 0.0)}
+    rings = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]), (2, [(0.0, 0.0), (1.0, 1.0), (0.0, 0.0)]), (3, None)], "scene_id int, ring array<struct<x:double,y:double>>")
+    sinks.write_footprints(rings, str(tmp_path / "f"))
+    assert [r["scene_id"] for r in spark.read.parquet(str(tmp_path / "f")).collect()] == [1]

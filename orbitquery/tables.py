@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,17 +36,41 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/orbitquery-{tag}-{uuid.uuid4().hex}"
 
 
+_OPEN: list[list["Table"]] = []
+
+
 class Table:
-    """A DataFrame written to the shared folder: lineage is cut and a lost executor costs no rerun."""
+    """A DataFrame written to the shared folder: lineage is cut and a lost executor costs no rerun.
+
+    Inside scratch() it goes at the end, unless it is to be kept.
+    """
 
-    def __init__(self, df: DataFrame, tag: str):
+    def __init__(self, df: DataFrame, tag: str, keep: bool = False):
         self.spark = df.sparkSession
         self.path = fresh_path(self.spark, tag)
+        self.there = True
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if _OPEN and not keep:
+            _OPEN[-1].append(self)
 
     def drop(self) -> None:
-        remove(self.spark, self.path)
+        if self.there:
+            remove(self.spark, self.path)
+        self.there = False
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables made in here are dropped at the end: what is needed longer is kept, or written outside."""
+    made: list[Table] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for table in made:
+            table.drop()
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import Table, by_bytes, doc_text, small_batches
 from .subwords import encoder
 
-#: Pieces that one task packs.  A task leaves one partly filled sequence or so, so the waste is about 1 in 5,000.
-PIECES_PER_TASK = 20_000
+#: Pieces that one task packs, and the share of a capacity below which a sequence counts as open.
+PIECES_PER_TASK, OPEN = 20_000, 0.98
 
 
 def pack_vectors(lengths: np.ndarray, capacity: int, max_docs: int | None = None, max_cost: int | None = None,
@@ -94,15 +94,35 @@ def cut_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: i
     return doc_text(docs).mapInArrow(run, schema)
 
 
-def best_fit_pack(pieces: DataFrame, capacity: int = 4096, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm") -> DataFrame:
+def best_fit_pack(pieces: DataFrame, capacity: int = 4096, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", per_task: int = PIECES_PER_TASK) -> DataFrame:
     """Add sequence_id and offset to a table with `length`.
 
-    Pieces are dealt evenly, whatever their keys, in groups of about PIECES_PER_TASK
-    and each group is packed by itself.  The dealing sorts first, so a task run again
-    after a loss makes the same sequences.
+    Pieces are dealt evenly, whatever their keys, in groups of about `per_task`, and each
+    group is packed by itself.  Sequences that a group leaves open (full in no respect) are
+    taken apart, and their pieces, now of all groups, are packed again in groups of that size,
+    as long as that leaves fewer open ones.  A null length is an error; an empty table gives none.
     """
     held = Table(pieces, "pieces").df
-    n = max(1, -(-held.count() // PIECES_PER_TASK))
+    done, turn, before = None, 0, None
+    while True:
+        n = max(1, -(-held.count() // per_task))
+        packed = Table(_packed(held, n, turn, capacity, max_docs, max_cost, rule), "packed").df
+        if n == 1 or turn == 3:
+            break
+        size = F.col("length").cast("double")
+        full = (F.sum(size) >= OPEN * capacity) | (F.count("*") >= (max_docs or capacity + 1)) | (F.sum(size * size) >= OPEN * (max_cost or capacity * capacity))
+        left = Table(packed.groupBy("sequence_id").agg(full.alias("full")).where("not full").select("sequence_id"), "open").df
+        some = left.count()
+        if not some or before is not None and some >= before:
+            break
+        closed = packed.join(left, "sequence_id", "left_anti").select(packed.columns)
+        done = closed if done is None else done.unionByName(closed)
+        held, before, turn = Table(packed.join(left, "sequence_id", "left_semi").select(held.columns), "rest").df, some, turn + 1
+    return packed if done is None else done.unionByName(packed)
+
+
+def _packed(held: DataFrame, n: int, turn: int, capacity: int, max_docs: int | None, max_cost: int | None, rule: str) -> DataFrame:
+    """One dealing into n groups; sequence ids name the turn, the group and the sequence."""
     columns = held.columns
 
     def run(batches):
@@ -112,7 +132,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 4096, max_docs: int | None
             return
         table = pa.Table.from_batches(rows).sort_by([(c, "ascending") for c in ("doc_id", "start", "length", "ids_crc32") if c in columns])
         bins, offsets = pack_vectors(table.column("length").to_numpy(), capacity, max_docs, max_cost, rule)
-        table = table.append_column("sequence_id", pa.array((part << 40) + bins)).append_column("offset", pa.array(offsets))
+        table = table.append_column("sequence_id", pa.array((turn << 60) + (part << 36) + bins)).append_column("offset", pa.array(offsets))
         yield from table.combine_chunks().to_batches(max_chunksize=10_000)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)

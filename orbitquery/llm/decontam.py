@@ -9,8 +9,9 @@ of segments whose summed block maxima stay below it are never opened.  Items
 retrieved for a document are verified by five-word shingles of the whole text
 and by the words of their question and answer parts.
 
-The index is broadcast in shards of bounded size; a larger benchmark takes more
-shards, each searched by all documents.
+The index is broadcast in shards of bounded size, as Arrow columns.  A larger benchmark
+takes more shards: each is searched by all documents, and its result written, before the
+next one is read.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ PASSAGE, SEGMENT = 128, 64
 #: Share of its own score at which a segment is retrieved, and of a part's words at which the part overlaps.
 RETRIEVED, PART = 0.5, 0.5
 K1, B = 1.2, 0.75
-#: Segments of a block, and bytes of item text in one broadcast shard.
-BLOCK, SHARD_BYTES = 16, 16 << 20
+#: Segments of a block, and bytes of item text in one broadcast shard; its index is some five times as large.
+BLOCK, SHARD_BYTES = 16, 4 << 20
 _WORDS = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() else ord(chr(c).lower()) if chr(c).isupper() else 32 for c in range(256))
 
 
@@ -73,20 +74,20 @@ class Item:
 class Index:
     """Postings by term, in blocks of segments, each with its largest impact."""
 
-    def __init__(self, items: list[tuple[int, str]], postings: list[tuple[int, int, bytes, float]]):
-        self.items = []
-        for item_id, text in items:
-            question, answer = question_answer(text)
-            self.items.append(Item(item_id, set(shingles(words(text))), set(words(question)), set(words(answer))))
-        place = {x.item_id: k for k, x in enumerate(self.items)}
-        names = sorted({(place[i], s) for i, s, _, _ in postings})
-        number = {x: k for k, x in enumerate(names)}
-        self.item_of = np.array([i for i, _ in names], dtype=np.int64)
-        terms = sorted({t for _, _, t, _ in postings})
+    def __init__(self, items: pa.Table, postings: pa.Table):
+        """items: item_id, text by item_id; postings: item_id, seg, term, impact."""
+        self.ids, self.texts = items.column("item_id").to_numpy(), items.column("text").combine_chunks()
+        self.opened: dict[int, Item] = {}
+        place = np.searchsorted(self.ids, postings.column("item_id").to_numpy())
+        part = postings.column("seg").to_numpy().astype(np.int64)
+        width = int(part.max(initial=0)) + 1
+        names, seg = np.unique(place * width + part, return_inverse=True)
+        self.item_of = names // width
+        coded = postings.column("term").combine_chunks().dictionary_encode()
+        terms = coded.dictionary.to_pylist()
         self.term = {t: k for k, t in enumerate(terms)}
-        t = np.array([self.term[x] for _, _, x, _ in postings], dtype=np.int64)
-        seg = np.array([number[place[i], s] for i, s, _, _ in postings], dtype=np.int64)
-        impact = np.array([w for _, _, _, w in postings])
+        t = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        impact = postings.column("impact").to_numpy()
         order = np.lexsort((seg, t))
         t, self.seg, self.impact = t[order], seg[order], impact[order]
         if not len(t):
@@ -99,6 +100,14 @@ class Index:
         self.term_at = np.searchsorted(t[new], np.arange(len(terms) + 1))
         self.best = np.append(np.maximum.reduceat(self.block_best, self.term_at[:-1]), 0.0)  # the last is for unknown words
 
+    def item(self, k: int) -> Item:
+        """The runs and words of an item, made when it is first retrieved."""
+        if k not in self.opened:
+            text = self.texts[k].as_py()
+            question, answer = question_answer(text)
+            self.opened[k] = Item(int(self.ids[k]), set(shingles(words(text))), set(words(question)), set(words(answer)))
+        return self.opened[k]
+
     def retrieve(self, ids: np.ndarray, threshold: float) -> dict[int, float]:
         """Best score of each item that some passage of the document retrieves. ids: term of each word, -1 if unknown."""
         found: dict[int, float] = {}
@@ -175,7 +184,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = RETRIEVED
     An item counts if `contained` of its five-word shingles and `part` of the words of its
     question and of its answer are in the document.  Null or wordless texts, items without
     words and items with null ids match nothing; of items that share an id one text is used
-    (the smallest).  Repeated documents give their rows again.
+    (the smallest).  Repeated documents give their rows again, other columns are ignored,
+    and an empty table on either side gives no rows.
     """
     items = items.where("item_id is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min(F.col("text").cast("string")).alias("text"))
     items = Table(items.where("text is not null"), "items").df
@@ -183,18 +193,21 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = RETRIEVED
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [_search(texts, _shard(items, impacts, k, shards), threshold, contained, part) for k in range(shards)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    out = None
+    for k in range(shards):
+        shared = _shard(items, impacts, k, shards)
+        part_ = _search(texts, shared, threshold, contained, part)
+        if shards > 1:  # one shard is all that is ever held
+            part_ = Table(part_, "leaks").df
+            shared.destroy()
+        out = part_ if out is None else out.unionByName(part_)
     return out
 
 
 def _shard(items: DataFrame, impacts: DataFrame, k: int, shards: int):
     mine = F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k
-    texts = [(r["item_id"], r["text"]) for r in items.where(mine).orderBy("item_id").collect()]
-    rows = [(r["item_id"], r["seg"], bytes(r["term"]), r["impact"]) for r in impacts.where(mine).collect()]
-    return items.sparkSession.sparkContext.broadcast((texts, rows))
+    texts = items.where(mine).orderBy("item_id").select("item_id", "text").toArrow()
+    return items.sparkSession.sparkContext.broadcast((texts, impacts.where(mine).select("item_id", "seg", "term", "impact").toArrow()))
 
 
 def _search(texts: DataFrame, shared, threshold: float, contained: float, part: float) -> DataFrame:
@@ -216,7 +229,7 @@ def _search(texts: DataFrame, shared, threshold: float, contained: float, part:
                 if hits:
                     have, runs = set(parts), set(shingles(parts))
                     for k, score in sorted(hits.items()):
-                        item = index.items[k]
+                        item = index.item(k)
                         n = len(item.shingles & runs)
                         q, a = (len(x & have) / len(x) if x else 1.0 for x in (item.question, item.answer))
                         if n >= contained * len(item.shingles) and q >= part and a >= part:

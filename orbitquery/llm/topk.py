@@ -124,7 +124,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, wave_bytes:
 
     Both tables are (vec_id, v) of quantised().  A query's own rows (its vec_id) are no
     candidates; a query id that repeats is asked once, candidate rows that repeat all
-    count.  Only vectors of the same dimension meet.
+    count.  Only vectors of the same dimension meet.  Queries go round in waves of
+    `wave_bytes`, each one scan of the candidates where they lie.  Empty tables give no rows.
     """
     asked = Table(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "asked").df
     size = asked.agg(F.sum(F.octet_length("v")).alias("n")).first()["n"] or 0
@@ -136,6 +137,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, wave_bytes:
             continue
         shared = vectors.sparkSession.sparkContext.broadcast(([r["vec_id"] for r in rows], [bytes(r["v"]) for r in rows]))
         part = vectors.mapInArrow(_scan(shared, k), "query_id long, vec_id long, score long")
+        if waves > 1:  # answered and written before the next one is read: one wave is all that is ever held
+            part = Table(part, "wave").df
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

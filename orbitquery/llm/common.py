@@ -1,9 +1,8 @@
-"""Shared plumbing: tables in the cluster's shared folder and byte streams on any store."""
+"""Shared plumbing of the training-data operators: byte streams on any store, batches, names."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,44 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHARED_DIR = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    base = spark.conf.get(SHARED_DIR, None)
-    if not base:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            base = set_dir.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="orbitquery-")
-            spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/orbitquery-{tag}-{uuid.uuid4().hex}"
-
-
-class Table:
-    """A DataFrame written to the shared folder: lineage is cut and a lost executor costs no rerun."""
-
-    def __init__(self, df: DataFrame, tag: str):
-        self.spark = df.sparkSession
-        self.path = fresh_path(self.spark, tag)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
+from ..tables import Table, fresh_path, free_name, remove, scratch, shared_dir  # noqa: F401  for the operators
 
 def open_store(uri: str):
     """The pyarrow file system of a URI and the path inside it; usable on executors."""
@@ -141,13 +103,12 @@ def doc_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that the table does not use, whatever the case."""
-    taken = {c.lower() for c in df.columns}
-    name = f"_{stem}"
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+def free_prefix(df: DataFrame, stem: str) -> str:
+    """A beginning that no column name of the table has, whatever the case."""
+    prefix = f"_{stem}_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
 
 
 def hex64(col: Column) -> Column:

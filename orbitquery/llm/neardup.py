@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, by_bytes, doc_text, free_name, map_rows, small_batches
+from .common import Table, by_bytes, doc_text, free_name, map_rows, scratch, small_batches
 from .components import connected_components
 from .simhash import CELL, PAIRS, SEED, fingerprint, near_links, shingle_hashes, words
 
@@ -447,7 +447,8 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     Rows that repeat a doc_id are one document: the first of them (by text) stays.  Rows
     with a null doc_id all stay; an empty table stays empty; other columns come through.
     """
-    groups = Table(duplicate_groups(docs, **options), "groups").df
+    with scratch():
+        groups = Table(duplicate_groups(docs, **options), "groups", keep=True).df
     gone, twice, at = (free_name(docs, n) for n in ("gone", "twice", "at"))
     dropped = Table(groups.where("doc_id <> group_id").select(F.col("doc_id").alias(gone)).distinct(), "dropped").df
     kept = docs.join(dropped.hint("merge"), F.col("doc_id").cast("long") == F.col(gone), "left_anti")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text
+from .common import doc_text, free_prefix
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -108,20 +108,20 @@ def _score(kind: str, text: Column, start: Column, end: Column) -> Column:
 _SPANS = "array<struct<start:int,end:int>>"
 
 
-def _with_spans(rows: DataFrame, text: str) -> DataFrame:
-    """All columns, and one array of (start, end, score) for each kind, named __KIND."""
+def _with_spans(rows: DataFrame, text: str, own: str) -> DataFrame:
+    """All columns, the text as it is read, and one array of (start, end, score) for each kind; new names begin with `own`."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     kept = [F.col(f"`{c}`") for c in rows.columns]
     none = F.array().cast("array<string>")
 
     def proposed(kind: str) -> Column:
-        hits = F.regexp_extract_all("__text", F.lit(PATTERNS[kind]), F.lit(0))
-        return F.when(F.contains("__text", F.lit(NEEDS[kind])), hits).otherwise(none) if kind in NEEDS else hits
+        hits = F.regexp_extract_all(f"{own}text", F.lit(PATTERNS[kind]), F.lit(0))
+        return F.when(F.contains(f"{own}text", F.lit(NEEDS[kind])), hits).otherwise(none) if kind in NEEDS else hits
 
     def placed(kind: str) -> Column:
         """Walk over the stretches between matches to place each match, keeping confirmed ones."""
-        hits = F.col(f"__hit_{kind}")
-        between = F.split("__text", PATTERNS[kind], -1)
+        hits = F.col(f"{own}hit_{kind}")
+        between = F.split(f"{own}text", PATTERNS[kind], -1)
         steps = F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
         start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
 
@@ -135,23 +135,24 @@ def _with_spans(rows: DataFrame, text: str) -> DataFrame:
 
     def scored(kind: str) -> Column:
         spans = F.transform(
-            f"__at_{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _score(kind, F.col("__text"), s["start"], s["end"]).alias("score"))
+            f"{own}at_{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _score(kind, F.col(f"{own}text"), s["start"], s["end"]).alias("score"))
         )
         return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= THRESHOLD)
 
-    rows = rows.select(*kept, body.alias("__text"))
-    rows = rows.select(*kept, "__text", *[proposed(k).alias(f"__hit_{k}") for k in KINDS])
-    rows = rows.select(*kept, "__text", *[placed(k).alias(f"__at_{k}") for k in KINDS])
-    return rows.select(*kept, "__text", *[scored(k).alias(f"__{k}") for k in KINDS])
+    rows = rows.select(*kept, body.alias(f"{own}text"))
+    rows = rows.select(*kept, f"{own}text", *[proposed(k).alias(f"{own}hit_{k}") for k in KINDS])
+    rows = rows.select(*kept, f"{own}text", *[placed(k).alias(f"{own}at_{k}") for k in KINDS])
+    return rows.select(*kept, f"{own}text", *[scored(k).alias(f"{own}{k}") for k in KINDS])
 
 
 def personal_spans(docs: DataFrame) -> DataFrame:
     """doc_id, and for each kind an array of (start, end, score): code points, end exclusive.
 
     A null text is read as empty and has no spans.  Null doc_ids and repeated rows keep
-    their rows; spans of different kinds may overlap.
+    their rows, other columns are ignored, and an empty table gives no rows; spans of
+    different kinds may overlap.
     """
-    return _with_spans(doc_text(docs), "text").select("doc_id", *[F.col(f"__{k}").alias(k) for k in KINDS])
+    return _with_spans(doc_text(docs), "text", "_").select("doc_id", *[F.col(f"_{k}").alias(k) for k in KINDS])
 
 
 def personal_digest(docs: DataFrame) -> DataFrame:
@@ -172,16 +173,18 @@ def personal_digest(docs: DataFrame) -> DataFrame:
 def mask_personal(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns; each span of `text` becomes its kind in brackets, overlapping spans become the first one's.
 
-    Rows without spans, null texts among them, come through as they are.
+    Rows without spans, null texts among them, come through as they are, whatever other
+    columns are called; an empty table stays empty.
     """
-    found = _with_spans(docs, text)
+    own = free_prefix(docs, "pii")
+    found = _with_spans(docs, text, own)
     kept = [F.col(f"`{c}`") for c in docs.columns]
 
     def of(kind: str) -> Column:
-        return F.transform(f"__{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+        return F.transform(f"{own}{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
     every = F.concat(*[of(k) for k in KINDS])
-    found = found.select(*kept, "__text", F.array_sort(every).alias("__all"))
+    found = found.select(*kept, f"{own}text", F.array_sort(every).alias(f"{own}all"))
     shape = "array<struct<start:int,end:int,kind:string>>"
 
     def merge(done: Column, s: Column) -> Column:
@@ -190,14 +193,14 @@ def mask_personal(docs: DataFrame, text: str = "text") -> DataFrame:
         wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
         return F.when(touching, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(s)))
 
-    found = found.select(*kept, "__text", F.aggregate("__all", F.array().cast(shape), merge).alias("__spans"))
+    found = found.select(*kept, f"{own}text", F.aggregate(f"{own}all", F.array().cast(shape), merge).alias(f"{own}spans"))
 
     def piece(s: Column, k: Column) -> Column:
-        since = F.when(k == 0, 0).otherwise(F.try_element_at(F.col("__spans"), k)["end"])
-        return F.concat(F.substring(F.col("__text"), since + 1, s["start"] - since), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        since = F.when(k == 0, 0).otherwise(F.try_element_at(F.col(f"{own}spans"), k)["end"])
+        return F.concat(F.substring(F.col(f"{own}text"), since + 1, s["start"] - since), F.lit("["), F.upper(s["kind"]), F.lit("]"))
 
-    end = F.try_element_at(F.col("__spans"), F.lit(-1))["end"]
-    tail = F.substring(F.col("__text"), end + 1, F.length("__text"))
-    masked = F.concat(F.array_join(F.transform("__spans", piece), ""), tail)
-    new = F.when(F.size("__spans") > 0, masked).otherwise(F.col(f"`{text}`"))
+    end = F.try_element_at(F.col(f"{own}spans"), F.lit(-1))["end"]
+    tail = F.substring(F.col(f"{own}text"), end + 1, F.length(f"{own}text"))
+    masked = F.concat(F.array_join(F.transform(f"{own}spans", piece), ""), tail)
+    new = F.when(F.size(f"{own}spans") > 0, masked).otherwise(F.col(f"`{text}`"))
     return found.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

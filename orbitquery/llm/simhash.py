@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, doc_text, hex64, map_rows
+from .common import Table, doc_text, hex64, map_rows, scratch
 from .components import connected_components, spanning
 
 #: Table rows of a cell that one block holds, and pairs compared at once.
@@ -208,10 +208,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, segments
     keep a row each.  A null doc_id gets its component's id and never names one (null if
     it has no numbered partner).  An empty table gives an empty result.
     """
-    prints = Table(fingerprints(docs, width), "prints").df
-    nodes = Table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes").df
-    links = near_links(nodes.where("rep is not null"), distance, segments, most)
-    roots = connected_components(links.select("a", "b"))
-    named = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    named = Table(named, "named").df
+    prints = Table(fingerprints(docs, width), "prints", keep=True).df
+    with scratch():
+        nodes = Table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes").df
+        links = near_links(nodes.where("rep is not null"), distance, segments, most)
+        roots = connected_components(links.select("a", "b"))
+        named = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+        named = Table(named, "named", keep=True).df
     return prints.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")

@@ -11,32 +11,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitquery.llm import decontam, langid, neardup, packing, pii
-from orbitquery.llm.common import Table
+from orbitquery.llm.common import Table, free_name, scratch
 
 #: A document goes if no language is the likelier half of what its text may be, or it has no letter.
 SURE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is recognised, whatever their label says."""
-    judged = langid.identify(docs, langid.train(docs), names=("__lang", "__sure"))
-    return judged.where((F.col("__lang") != langid.UNDECIDED) & (F.col("__sure") >= SURE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Keep documents whose language is recognised, whatever their label says.
+
+    Null and empty texts and texts without a letter go, since they are in no language.  Null
+    doc_ids and repeated rows are judged like any other row.  Without any label there is
+    nothing to learn and all rows go; an empty table stays empty.
+    """
+    names = (free_name(docs, "lang"), free_name(docs, "sure"))
+    judged = langid.identify(docs, langid.train(docs), names=names)
+    return judged.where((F.col(names[0]) != langid.UNDECIDED) & (F.col(names[1]) >= SURE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of exact and near copies."""
+    """Keep the document with the smallest doc_id of each group of exact and near copies.
+
+    Texts without words are copies of each other.  Rows with a null doc_id all stay; rows
+    that repeat a doc_id are one document, whose first text stays; an empty table stays empty.
+    """
     return neardup.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaked = Table(found.select(F.col("doc_id").alias("__leaked")).distinct(), "leaked").df
-    return docs.join(leaked, F.col("doc_id").cast("long") == F.col("__leaked"), "left_anti")
+    """Drop documents that hold a benchmark item.
+
+    A document is its doc_id: if one of several rows holds an item, all go.  Rows with a null
+    doc_id are documents of their own and judged by their texts.  Null and empty texts hold
+    nothing and stay; an empty table or an empty benchmark drops nothing.
+    """
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    gone = free_name(docs, "leaked")
+    # A row without an id goes by its text's digest, beside the ids of the others.
+    by_text = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string")))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), by_text).alias("doc_id"), "text", F.col("doc_id").isNull().alias("nameless"))
+    known, nameless = (decontam.contaminated(keyed.where(F.col("nameless") == flag), items).select(F.col("doc_id").alias(gone)) for flag in (False, True))
+    kept = docs.join(Table(known.distinct(), "leaked").df, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    if Table(docs.where("doc_id is null").select("doc_id").limit(1), "nameless").df.isEmpty():
+        return kept
+    return kept.join(Table(nameless.distinct(), "leaked").df, by_text == F.col(gone), "left_anti")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data in texts; n_chars follows the new text."""
+    """Replace personal data in texts; n_chars follows the new text.
+
+    Null and empty texts, null doc_ids and repeated rows come through as they are; an empty
+    table stays empty, and a table without n_chars gets none.
+    """
     masked = pii.mask_personal(docs)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -44,7 +70,11 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences of at most 4096 tokens."""
+    """Pieces of all documents, placed in sequences of at most 4096 tokens.
+
+    A null or empty text is one piece, its end id; null doc_ids and repeated rows are packed
+    like any other row, other columns are ignored, and an empty table gives no pieces.
+    """
     return packing.pack_documents(docs)
 
 
@@ -61,7 +91,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to `documents`, each result written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = Table(stage(spark, docs, sf_dir), name).df
+        with scratch():  # what a stage wrote on the way goes once its result is written
+            written = Table(stage(spark, docs, sf_dir), name, keep=True)
+        if before is not None:
+            before.drop()
+        docs, before = written.df, written
     return STAGES[-1][1](spark, docs, sf_dir)

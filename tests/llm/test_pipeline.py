@@ -33,3 +33,12 @@ def test_run_and_edges(spark, sf_dir, awkward, nothing):
     for docs in (awkward, nothing):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.Table(stage(spark, docs, sf_dir), "t").df
+
+
+def test_contaminated_rows_without_an_id_go(spark, sf_dir, tmp_path):
+    item = " ".join(f"term{k}" for k in range(60)) + ". The answer is forty two then."
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "Before it " + item + " and after.", 1), (None, "Clean words here.", 2), (7, item, 3), (7, "Clean too.", 4), (8, "Also clean.", 5), (8, None, 6), (None, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _leaked int")
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and sorted(r["_leaked"] for r in left.collect()) == [2, 5, 6, 7]

@@ -1,11 +1,13 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from orbitquery.llm import decontam, langid, licenses, pii
+from orbitquery.llm import decontam, langid, licenses, pii, queries
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -82,8 +84,45 @@ def test_licenses_by_digest(spark, awkward, nothing):
     got = {r["doc_id"]: (r["license_id"], r["notices"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("MIT", ""), 2: (None, ""), 3: (None, "CC-BY-NC-4.0,MIT"), 4: (None, ""), 5: (None, "")}
     assert licenses.scan_licenses(awkward).count() == 13 and licenses.scan_licenses(nothing).count() == 0
-    extra = licenses.scan_licenses(spark.createDataFrame([(1, "House rules: be kind.")], "doc_id long, text string"), more=[("house", "house RULES, be kind")])
-    assert extra.first()["license_id"] == "house"
+    more = spark.createDataFrame([("house", "house RULES, be kind"), ("none", ""), ("mine", mit), ("null", None)], "license_id string, text string")
+    docs = spark.createDataFrame([(1, "House rules: be kind."), (2, mit), (3, ""), (4, "House rules")], "doc_id long, text string")
+    assert {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(docs, more).collect()} == {1: "house", 2: "MIT", 3: None, 4: None}
+
+
+def altered(text, rng):
+    """Another holder, case, punctuation, line breaks and spelling."""
+    parts = text.replace(" license", " licence").replace("Copyright holder", "Copyright owner").split()
+    joined = "".join(w + rng.choice([" ", "\n", "  ", " - "]) for w in parts)
+    return f"Copyright (c) {rng.randint(1990, 2024)} Some One\n\n" + rng.choice([str.upper, str.lower, str])(joined)
+
+
+def test_whole_licences_against_sql(spark, tmp_path, same):
+    """Texts that are a licence, altered as the canonical form allows or beyond it, through the query and its SQL."""
+    rng = random.Random(8)
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    found = [(name, text) for name, text in licenses.KNOWN] + [(n, Path(f"/usr/share/common-licenses/{f}").read_text()) for f, n in files.items() if Path(f"/usr/share/common-licenses/{f}").exists()]
+    texts = [text if k % 3 == 0 or not text[:1].isupper() else altered(text, rng) if len(text) < 5000 else text.replace("License", "Licence").upper() for k, (_, text) in enumerate(found)]
+    texts += [t + " and more" for t in texts[:3]] + ["counterlicence", "The policencer's licence.", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.op10_licenses(spark, str(tmp_path))
+    named = {r["doc_id"]: r["license_id"] for r in got.collect()}
+    assert sum(named[k] == name for k, (name, _) in enumerate(found)) == len(found) and all(named[k] is None for k in range(len(found), len(texts)))
+    same(got, con.sql(licenses.oracle_sql()))
+    assert "counterlicence" == licenses.canonical_text("Counterlicence") and licenses.canonical_text("licence licence") == "license license"
+
+
+def test_masking_minds_no_names(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co", "x", "y", 3)], "doc_id long, text string, _pii_text string, __pii_spans string, _pii_at_email int")
+    assert [tuple(r) for r in pii.mask_personal(docs).collect()] == [(1, "mail [EMAIL]", "x", "y", 3)]
+
+
+def test_shards_find_what_one_index_finds(spark, sf_dir, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
+    whole = sorted((r["doc_id"], r["item_id"], r["n_found"]) for r in decontam.contaminated(docs, items).collect())
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 4000)
+    assert whole == sorted((r["doc_id"], r["item_id"], r["n_found"]) for r in decontam.contaminated(docs, items).collect()) and whole
 
 
 def plain_bits(runs, size, symbols):

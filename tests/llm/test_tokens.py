@@ -144,3 +144,52 @@ def test_every_capacity_holds(rule):
     with pytest.raises(ValueError):
         packing.pack_vectors(np.array([300]), 256)
     assert (offsets >= 0).all()
+
+
+def sequences_of(rows):
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append(r["length"])
+    return bins
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_three_capacities_bind_together(spark, sf_dir, rule):
+    """Tokens, documents and attention cost each end some sequences; their number stays near the best that all three allow."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    most, cost = 5, 5_000_000
+    got = packing.pack_documents(docs, max_docs=most, max_cost=4096 * 4096, rule=rule).collect()
+    check_sequences(got, 4096)
+    bins = sequences_of(got)
+    assert all(len(b) <= most and sum(x * x for x in b) <= 4096 * 4096 for b in bins.values())
+    short = [r["length"] for r in got if r["length"] <= 2000]
+    pieces = spark.createDataFrame([(k, n) for k, n in enumerate(short)], "doc_id long, length long")
+    tight = sequences_of(packing.best_fit_pack(pieces, 4096, most, cost, rule).collect())
+    assert all(len(b) <= most and sum(b) <= 4096 and sum(x * x for x in b) <= cost for b in tight.values())
+    least = max(-(-sum(short) // 4096), -(-len(short) // most), -(-sum(x * x for x in short) // cost))
+    assert len(tight) <= 1.35 * least + 2
+    assert any(len(b) == most for b in tight.values()) and any(sum(x * x for x in b) > 0.85 * cost for b in tight.values())
+
+
+def test_open_sequences_of_all_groups_are_packed_again(spark):
+    rng = np.random.default_rng(5)
+    lengths = np.concatenate([rng.integers(1, 4097, 1500), rng.integers(1, 300, 1500)]).tolist()
+    pieces = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "doc_id long, length long")
+    few = packing.best_fit_pack(pieces, per_task=100).collect()
+    assert sorted(r["doc_id"] for r in few) == list(range(len(lengths)))
+    check_sequences(few, 4096)
+    one = len(sequences_of(packing.best_fit_pack(pieces).collect()))
+    assert len(sequences_of(few)) <= 1.02 * one + 2
+
+
+def test_counts_do_not_depend_on_windows_and_buckets(spark, sf_dir, monkeypatch):
+    """Small windows, words that most documents hold, odd blanks and texts that are counted whole."""
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizers_of.path("piece_bpe_32k.model"))
+    texts = [" ".join(["the", "of", f"word{k % 7}", f"x{k}"] * (k % 5)) + " " * (k % 3) for k in range(300)] + odd_texts(200) + [None, "▁", "the"]
+    docs = spark.createDataFrame([(None if k == 5 else k % 290, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokencount.token_counts(docs, limit=12).collect())
+    want = [(None if k == 5 else k % 290, len((t or "").encode()), len(library.encode(t or ""))) for k, t in enumerate(texts)]
+    assert got == sorted((str(d), b, n, n > 12) for d, b, n in want)
+    ids = Tokenizer.from_file(tokenizers_of.path("byte_bpe_50k.json"))
+    other = sorted((str(r["doc_id"]), r["n_tokens"]) for r in tokencount.token_counts(docs, "byte_bpe_50k.json").collect())
+    assert other == sorted((str(d), len(ids.encode(t or "", add_special_tokens=False).ids)) for (d, _, _), t in zip(want, texts, strict=True))

@@ -47,14 +47,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     gone = free_name(docs, "leaked")
+
+    def leaked(rows: DataFrame) -> DataFrame:
+        return Table(decontam.contaminated(rows, items).select(F.col("doc_id").alias(gone)).distinct(), "leaked").df
+
+    kept = docs.join(leaked(docs.where("doc_id is not null")), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    if docs.where("doc_id is null").isEmpty():
+        return kept
     # A row without an id goes by its text's digest, beside the ids of the others.
     by_text = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string")))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), by_text).alias("doc_id"), "text", F.col("doc_id").isNull().alias("nameless"))
-    known, nameless = (decontam.contaminated(keyed.where(F.col("nameless") == flag), items).select(F.col("doc_id").alias(gone)) for flag in (False, True))
-    kept = docs.join(Table(known.distinct(), "leaked").df, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
-    if Table(docs.where("doc_id is null").select("doc_id").limit(1), "nameless").df.isEmpty():
-        return kept
-    return kept.join(Table(nameless.distinct(), "leaked").df, by_text == F.col(gone), "left_anti")
+    return kept.join(leaked(docs.where("doc_id is null").select(by_text.alias("doc_id"), "text")), by_text == F.col(gone), "left_anti")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

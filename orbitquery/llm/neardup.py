@@ -38,7 +38,7 @@ SAMPLE, COMMON = 20_000, 100_000
 #: Rows of a cell that give all their pairs at once; bytes of text in a block; most bits of a sketch.
 SMALL, BLOCK, SKETCH = 32, 8 << 20, 1 << 16
 #: Cells of a node, the first in order, that travel with it to tell where else a pair meets.
-HEADS = 8
+HEADS = 4
 _ENTRY = np.dtype([("run", "<u4"), ("node", "<i8")])
 _COMMON = np.dtype([("run", "<i8"), ("node", "<i8")])
 
@@ -55,8 +55,8 @@ def node_of(text: str | None) -> int:
 
 
 def odd_sketch(runs: np.ndarray) -> bytes:
-    """Parities of the runs in each of 2^k buckets, two to four for each run."""
-    bits = min(SKETCH, 1 << max(6, (2 * len(runs) - 1).bit_length()))
+    """Parities of the runs in each of 2^k buckets, one or two for each run."""
+    bits = min(SKETCH, 1 << max(6, (len(runs) - 1).bit_length()))
     return np.packbits(np.bincount((runs & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 

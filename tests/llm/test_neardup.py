@@ -112,6 +112,6 @@ def test_documents_with_several_texts_are_one(spark):
 def test_pairs_are_given_once_by_their_first_cell():
     cell = np.array([5, 5, 5, -3])
     top = np.iinfo(np.int64).max
-    left = np.array([[1, 5] + [top] * 6, [5] + [top] * 7, [2, 5] + [top] * 6, [-3, 4] + [top] * 6])
-    right = np.array([[1, 2, 5] + [top] * 5, [4, 5] + [top] * 6, [3, 5] + [top] * 6, [-3, 4] + [top] * 6])
+    left = np.array([[1, 5, top, top], [5, top, top, top], [2, 5, top, top], [-3, 4, top, top]])
+    right = np.array([[1, 2, 5, top], [4, 5, top, top], [3, 5, top, top], [-3, 4, top, top]])
     assert neardup.met_before(cell, left, right).tolist() == [True, False, False, False]

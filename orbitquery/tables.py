@@ -68,7 +68,7 @@ def scratch() -> Iterator[None]:
     try:
         yield
     finally:
-        _OPEN.remove(made)
+        _OPEN[:] = [x for x in _OPEN if x is not made]
         for table in made:
             table.drop()
 

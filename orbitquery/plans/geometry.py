@@ -72,12 +72,13 @@ _OTHERS = "i AS (SELECT s_suppkey AS id, s_nationkey AS cls, s_suppkey * 13 % 70
 @query(f"""{with_sql('boxes')}, {_OTHERS},
 p AS (SELECT b.id AS window_id, i.id AS input_id, b.*, gx, gy, step FROM boxes b JOIN i ON b.cls = i.cls AND b.x0 <= gx + 300 * step AND gx <= b.x1 AND b.y0 <= gy AND gy - 200 * step <= b.y1),
 r AS (SELECT window_id, input_id, CAST(trunc((x0 - gx) / step) AS INTEGER) AS x, CAST(trunc((gy - y1) / step) AS INTEGER) AS y, CAST(trunc((x1 - gx) / step) AS INTEGER) AS xe, CAST(trunc((gy - y0) / step) AS INTEGER) AS ye FROM p)
-SELECT window_id, input_id, x, y, xe - x AS w, ye - y AS h, x >= 0 AND y >= 0 AND xe <= 300 AND ye <= 200 AS inside FROM r""")
+SELECT window_id, input_id, x, y, xe - x AS w, ye - y AS h, CAST(x >= 0 AND y >= 0 AND xe <= 300 AND ye <= 200 AS INTEGER) AS inside FROM r""")
 def paired_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows with the other inputs of their class, in those inputs' pixels."""
     inputs = fx.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_nationkey AS cls", "s_suppkey * 13 % 700 + s_suppkey div 1000 * 1100 AS gx", "s_suppkey * 29 % 700 + 400 AS gy", "shiftleft(1, CAST(s_suppkey % 3 AS INT)) AS step")
     gt = F.array(*[F.expr(e).cast("double") for e in ("gx", "step", "0", "gy", "0", "-step")])
-    return spatial.paired_windows(fx.boxes(spark, sf_dir), inputs.select("id", "cls", gt.alias("gt"), F.lit(300).alias("width"), F.lit(200).alias("height")), "cls", 256)
+    found = spatial.paired_windows(fx.boxes(spark, sf_dir), inputs.select("id", "cls", gt.alias("gt"), F.lit(300).alias("width"), F.lit(200).alias("height")), "cls", 256)
+    return found.withColumn("inside", F.col("inside").cast("int"))
 
 
 _SLACK = f"""{_SIMS}, t AS (SELECT label, i, j, exp(dot / 0.1 - greatest(max(dot / 0.1) OVER (PARTITION BY label), 5)) AS p, exp(5 - greatest(max(dot / 0.1) OVER (PARTITION BY label), 5)) AS s FROM s),
@@ -222,10 +223,10 @@ def refined_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("q", "place", "pk", "sk", "score", "status")
 
 
-@query("""SELECT user_id AS job, arg_max(event_type, (ts, event_type)) AS state, max(ts) AS time, count(*) AS entries, round(CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1e6, 3) AS seconds FROM events GROUP BY user_id""")
+@query("""SELECT user_id AS job, arg_max(event_type, (ts, event_type)) AS state, count(*) AS entries, round(CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1e6, 3) AS seconds FROM events GROUP BY user_id""")
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("ts").alias("time"), F.col("event_type").alias("state"))
-    return _round(sinks.job_states(log), "seconds", places=3)
+    return _round(sinks.job_states(log).drop("time"), "seconds", places=3)
 
 
 @query("SELECT o_orderkey, 'o' || o_orderkey || '_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') AS name, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS days FROM orders")

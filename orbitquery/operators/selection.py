@@ -68,3 +68,17 @@ def match_in_batches(ranked: DataFrame, verify: Callable[[DataFrame], DataFrame]
         solved = accepted if solved is None else solved.unionByName(accepted)
     return solved if solved is not None else first_success(verify(ranked), query, [rank])
 
+
+def match_as_needed(ranks: Callable[[DataFrame, int | None], DataFrame], queries: DataFrame, verify: Callable[[DataFrame], DataFrame], key: str = "vec_id", query: str = "query_id", rank: str = "rank",
+                    size: int = 128, save: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """The result of match_in_batches over complete rankings, of which only those are made that are needed.
+
+    ranks(queries, k) gives the k best candidates of each query, without k all of them.  Queries
+    with no success among the first `size` get their complete ranking, the others do not.
+    verify and save are those of match_in_batches.
+    """
+    save = save or (lambda rows, k: Table(rows, "solved").df)
+    solved = save(first_success(verify(ranks(queries, size)), query, [rank]), 0)
+    open_ = pending(queries, solved.select(F.col(query).alias(key)), [key])
+    rest = verify(ranks(open_, None).where(F.col(rank) > size))
+    return solved.unionByName(save(first_success(rest, query, [rank]), 1))

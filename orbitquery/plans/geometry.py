@@ -185,9 +185,9 @@ SELECT query_id, rank, tile_id FROM k WHERE n = 1""")
 def located_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Early exit over the complete ranking: the first tile of each query that a verifier accepts."""
     base = fx.table(spark, sf_dir, "embeddings")
-    ranked = search.rank_tiles(base, base.where("vec_id % 20 = 0"))
+    ranks = lambda some, k: search.rank_tiles(base, some, k=k)
     verify = lambda some: some.where("(query_id * 31 + tile_id * 17) % 23 = 0")
-    return selection.match_in_batches(ranked, verify, size=128).select("query_id", "rank", "tile_id")
+    return selection.match_as_needed(ranks, base.where("vec_id % 20 = 0"), verify).select("query_id", "rank", "tile_id")
 
 
 _REMATCH = """a AS (SELECT l_orderkey AS q, l_linenumber AS place, l_partkey AS pk, l_suppkey AS sk, CASE WHEN l_partkey % 6 <> 0 THEN (l_partkey * 7 + l_suppkey * 3) % 101 / 100 END AS score FROM lineitem),

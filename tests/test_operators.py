@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orbitquery import tables
 from orbitquery.functions import affine, mercator, quad
 from orbitquery.operators import grid, homography, matching, raster, search, selection, spatial
+from orbitquery.plans import catalogue, geometry  # noqa: F401  geometry adds its queries to the catalogue
 from orbitquery.sources import files, geojson, sinks
 from orbitquery.sources.config import Settings
 from orbitquery.streaming import chips
@@ -337,3 +338,36 @@ def test_complete_rankings_shuffle_no_pairs(spark):
 def test_order_of_distances(d2):
     want = sorted(range(len(d2)), key=lambda i: (round(d2[i], 9), i))
     assert search._order(np.array(d2, dtype=np.float64)).tolist() == want
+
+
+def test_located_ranks_are_those_of_complete_rankings(spark):
+    """Successes early, late, at the edge of the first ranks and never; complete rankings only where needed."""
+    rng = np.random.default_rng(13)
+    base = spark.createDataFrame([(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(60)], "vec_id long, embedding array<double>")
+    queries, asked = base.where("vec_id % 5 = 0"), []
+
+    def ranks(some, k):
+        asked.append((k, sorted(r["vec_id"] for r in some.select("vec_id").collect())))
+        return search.rank_tiles(base, some, k=k)
+
+    whole = search.rank_tiles(base, queries).collect()
+    for accepts in ("tile_id % 7 = query_id % 7", "tile_id = 59", "rank = 10", "rank = 11", "rank >= 60", "false"):
+        asked.clear()
+        full = spark.createDataFrame(whole)
+        want = sorted((r["query_id"], r["rank"], r["tile_id"]) for r in selection.first_success(full.where(accepts), "query_id", ["rank"]).collect())
+        found = selection.match_as_needed(ranks, queries, lambda b, accepts=accepts: b.where(accepts), size=10)
+        assert sorted((r["query_id"], r["rank"], r["tile_id"]) for r in found.collect()) == want
+        early = {q for q, rank, _ in want if rank <= 10}
+        assert [k for k, _ in asked] == [10, None] and asked[1][1] == [q for q in asked[0][1] if q not in early]
+
+
+def test_located_ranks_query_ranks_unsolved_queries_only(spark, sf_dir, monkeypatch):
+    whole, rank_tiles = [], search.rank_tiles
+
+    def counted(base, queries, **more):
+        if more.get("k") is None:
+            whole.append(queries.count())
+        return rank_tiles(base, queries, **more)
+
+    monkeypatch.setattr(search, "rank_tiles", counted)
+    assert catalogue.QUERIES["located_ranks"](spark, sf_dir).count() == 25 and sum(whole) < 5

@@ -13,7 +13,7 @@ from ..sources.config import Settings
 from ..tables import fresh_path
 from . import areas, fixtures as fx
 from . import matching as plan
-from .catalogue import _LEVELS, _RANKED, _SIMS, _TILE_XY, _axis_sql, _round, _sides, query
+from .catalogue import _LEVELS, _RANKED, _SIMS, _TILE_XY, _axis_sql, _both, _round, query
 from .fixtures import with_sql
 
 
@@ -93,7 +93,7 @@ a{k + 1} AS (SELECT label, i, j, p, s, m, n, 1 / (sum(p * r) OVER (PARTITION BY
 
 @query(_SLACK + _slack_round(0) + ", b1 AS (SELECT * EXCLUDE (r) FROM a1), " + _slack_round(1).lstrip(", ").replace("FROM a1", "FROM b1") + " SELECT label, i, j, round(p * r * c, 6) AS conf FROM a2")
 def sinkhorn_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(matching.sinkhorn_with_slack(_sides(spark, sf_dir), "label", 0.5, 2).select("label", "i", "j", "conf"), "conf")
+    return matching.transport_with_slack(*_both(spark, sf_dir), "label", 0.5, 2, places=6)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_discount AS mconf FROM lineitem WHERE l_discount <> 0")

@@ -371,3 +371,24 @@ def test_located_ranks_query_ranks_unsolved_queries_only(spark, sf_dir, monkeypa
 
     monkeypatch.setattr(search, "rank_tiles", counted)
     assert catalogue.QUERIES["located_ranks"](spark, sf_dir).count() == 25 and sum(whole) < 5
+
+
+def test_transport_by_blocks_is_that_of_all_cells(spark):
+    """Several blocks, unequal and one-sided pairs, repeated rows, null vectors and other dimensions; no cell is shuffled."""
+    rng = np.random.default_rng(14)
+    rows = [(int(p), int(i), [float(x) for x in rng.normal(size=3)]) for i, p in enumerate(rng.choice([1, 1, 1, 2], 90))]
+    rows += [(1, 200, None), (1, 201, None), (1, 202, [1.0, None, 0.5]), (1, 203, [0.5, 0.5]), (2, 204, [1.0]), (3, 206, [1.0, 0.0, 0.0]), (1, rows[0][1], [0.1, 0.2, 0.3]), (None, 208, [0.0, 1.0, 0.0])]
+    v = spark.createDataFrame(rows, "p int, n int, v array<double>").repartition(3)
+    left, right = (v.where(f"n % 2 = {k}").selectExpr("p", f"n AS {name}", "v") for k, name in ((0, "i"), (1, "j")))
+    want = matching.sinkhorn_with_slack(matching.similarities(left, right, "p"), "p", 0.4, 2, 0.3)
+    want = sorted((r["p"], r["i"], r["j"], -1.0 if r["conf"] is None else round(r["conf"], 9)) for r in want.collect())
+    for block in (7, 1000):
+        found = matching.transport_with_slack(left, right, "p", 0.4, 2, 0.3, block=block)
+        got = sorted((r["p"], r["i"], r["j"], -1.0 if r["conf"] is None else round(r["conf"], 9)) for r in found.collect())
+        assert len(got) == len(want) > 1000 and all(a[:3] == b[:3] and math.isclose(a[3], b[3], abs_tol=2e-9) for a, b in zip(got, want, strict=True))
+    assert any(w[3] == -1.0 for w in want)
+
+
+def test_sinkhorn_slack_query_orders_no_cells(spark, sf_dir):
+    plan = catalogue.QUERIES["sinkhorn_slack"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan[:plan.index("MapInArrow")]

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table
+from .common import Table, lean
 
 
 #: Rows of contracted links that one task may join up: some tens of MB.
@@ -83,11 +83,11 @@ def connected_components(links: DataFrame, alone: int = ALONE) -> DataFrame:
     a, b = links.columns
     # Written before they are contracted: two Python steps in one stage would hold two workers for each task.
     given = Table(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")), "given")
-    now = Table(given.df.mapInArrow(_contract, "node long, root long"), "links")
+    now = Table(given.df.mapInArrow(lean(_contract), "node long, root long"), "links")
     given.drop()
     mark = _mark(now.df)
     if mark[0] <= alone:
-        done = Table(now.df.coalesce(1).mapInArrow(_contract, "node long, root long"), "roots")
+        done = Table(now.df.coalesce(1).mapInArrow(lean(_contract), "node long, root long"), "roots")
         now.drop()
         return done.df
     while True:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, map_rows, resident
+from .common import Table, lean, map_rows, resident
 
 SHINGLE, CONTAINED = 5, 0.8
 #: Words of a passage and of an index segment; a passage moves on by half, so each segment fits in one whole.
@@ -165,7 +165,7 @@ def index_table(items: DataFrame) -> DataFrame:
                             out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("item_id", pa.int64()), ("seg", pa.int32()), ("size", pa.int32()), ("term", pa.binary()), ("tf", pa.int32())]))
 
-    raw = Table(items.mapInArrow(cut, "item_id long, seg int, size int, term binary, tf int"), "terms").df
+    raw = Table(items.mapInArrow(lean(cut), "item_id long, seg int, size int, term binary, tf int"), "terms").df
     whole = raw.select("item_id", "seg", "size").distinct().agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
     stats = whole.first()
     if not stats["n"]:
@@ -240,7 +240,7 @@ def _search(texts: DataFrame, shared, threshold: float, contained: float, part:
 
         return step
 
-    return map_rows(texts, make, "doc_id long, item_id long, score double, n_shingles long, n_found long, question_overlap double, answer_overlap double")
+    return map_rows(texts, make, "doc_id long, item_id long, score double, n_shingles long, n_found long, question_overlap double, answer_overlap double", keeps=True)
 
 
 #: What the retrieval may not lose: containment over whole texts, by brute force.

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, map_rows, resident
+from .common import Table, lean, map_rows, resident
 
 ORDER = 3
 #: Expected sample rows of a language: the bound on what is learned from.
@@ -207,7 +207,7 @@ def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model:
             yield from table.to_batches(max_chunksize=10_000)
 
     sample = Table(labelled_sample(docs, rows), "langsample")
-    counted = sample.df.mapInArrow(count, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.df.mapInArrow(lean(count), "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")).toPandas()
     sample.drop()
     languages, samples = [], []
     for lang, mine in counted.groupby("lang", sort=True):
@@ -256,7 +256,7 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
         return step
 
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return map_rows(kept, make, f"{schema}, `{names[0]}` string, `{names[1]}` double")
+    return map_rows(kept, make, f"{schema}, `{names[0]}` string, `{names[1]}` double", keeps=True)
 
 
 def language_of(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, by_bytes, doc_text, free_name, map_rows, scratch, small_batches
+from .common import Table, by_bytes, doc_text, free_name, lean, map_rows, scratch, small_batches
 from .components import connected_components
 from .simhash import CELL, PAIRS, SEED, fingerprint, near_links, shingle_hashes, words
 
@@ -164,7 +164,6 @@ def _send(shared, buckets: int, width: int, shingle: int, least: float):
                 often["run"], often["node"] = (runs[common] >> np.uint64(1)).astype(np.int64), owner[common]
                 # Common runs need no counting, so they may go anywhere.
                 yield blocks(KNOWN, (owner[common].view(np.uint64) % np.uint64(buckets)).astype(np.int32), often)
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -320,7 +319,7 @@ def _meet(cells: DataFrame, roots: DataFrame, nodes: DataFrame, least: float, ev
         several = _deal(several, hot, most)
     ready = several.join(heads.hint("merge"), "node").join(nodes.select("node", "n", "sketch").hint("merge"), "node")
     ready = ready.select("cell", "role", "root", "node", "n", "sketch", "crowd", "heads", "origin").repartition("cell").sortWithinPartitions("cell", "role")
-    return Table(ready.mapInArrow(_scan(least, every, small), "a long, b long").distinct(), "meet").df
+    return Table(ready.mapInArrow(lean(_scan(least, every, small)), "a long, b long").distinct(), "meet").df
 
 
 def _deal(rows: DataFrame, hot: DataFrame, most: int) -> DataFrame:
@@ -349,7 +348,7 @@ def _thinned(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             limit = possible(batch.column(2).to_numpy(), batch.column(3).to_numpy(), least)
             yield batch.select(["a", "b"]).filter(pa.array(apart(batch.column(4).to_pylist(), batch.column(5).to_pylist()) <= limit))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def _sets(members: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int) -> Table:
@@ -384,7 +383,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             if keep:
                 yield batch.select(["a", "b"]).take(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def duplicate_groups(docs: DataFrame, width: int = 3, distance: int = 3, segments: int = 2, shingle: int = SHINGLE, similarity: float = SIMILAR, most: int = CELL, small: int = SMALL) -> DataFrame:
@@ -401,8 +400,8 @@ def duplicate_groups(docs: DataFrame, width: int = 3, distance: int = 3, segment
     texts = doc_text(docs).where("doc_id is not null")
     shared = spark.sparkContext.broadcast(common_runs(texts, shingle))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = texts.mapInArrow(_send(shared, buckets, width, shingle, similarity), _SENT).repartition("bucket").sortWithinPartitions("bucket")
-    kept = Table(sent.mapInArrow(_recur, _KEPT), "kept")
+    sent = texts.mapInArrow(lean(_send(shared, buckets, width, shingle, similarity)), _SENT).repartition("bucket").sortWithinPartitions("bucket")
+    kept = Table(sent.mapInArrow(lean(_recur), _KEPT), "kept")
     prints = kept.df.where(F.col("kind") == PRINT).select("doc_id", "fp", "node", "n", F.col("data").alias("sketch"))
     cells = kept.df.where(F.col("kind") != PRINT).select("cell", "node")
 

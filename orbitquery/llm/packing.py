@@ -17,11 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, by_bytes, doc_text, small_batches
+from .common import Table, by_bytes, doc_text, lean, small_batches
 from .subwords import encoder
 
 #: Pieces that one task packs, and the share of a capacity below which a sequence counts as open.
 PIECES_PER_TASK, OPEN = 20_000, 0.98
+#: Entries of a generation of the encoder's cache, and bytes of text that are encoded at once: a worker's memory is a multiple of both.
+STRETCHES, SLICE = 200_000, 1 << 20
 
 
 def pack_vectors(lengths: np.ndarray, capacity: int, max_docs: int | None = None, max_cost: int | None = None,
@@ -69,9 +71,9 @@ def pack_vectors(lengths: np.ndarray, capacity: int, max_docs: int | None = None
 def cut_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = 4096, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids as little-endian 32-bit bytes, if kept)."""
     def run(batches):
-        tokens = encoder(vocabulary)
+        tokens = encoder(vocabulary, STRETCHES)
         for batch in batches:
-            for few in by_bytes(batch, 1):
+            for few in by_bytes(batch, 1, SLICE):
                 ids, ends = tokens.encode_column(few.column(1), end_id)
                 raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 sizes = np.diff(ends, prepend=0)
@@ -87,11 +89,11 @@ def cut_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: i
                 if keep_ids:
                     arrays, names = [*arrays, pa.array([bytes(raw[a:b]) for a, b in spans], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
-        pa.default_memory_pool().release_unused()
+                pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
     small_batches(docs.sparkSession)
-    return doc_text(docs).mapInArrow(run, schema)
+    return doc_text(docs).mapInArrow(lean(run, keeps=True), schema)
 
 
 def best_fit_pack(pieces: DataFrame, capacity: int = 4096, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", per_task: int = PIECES_PER_TASK) -> DataFrame:
@@ -136,7 +138,7 @@ def _packed(held: DataFrame, n: int, turn: int, capacity: int, max_docs: int | N
         yield from table.combine_chunks().to_batches(max_chunksize=10_000)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
-    return held.repartition(n).mapInArrow(run, schema + ", sequence_id long, offset long")
+    return held.repartition(n).mapInArrow(lean(run), schema + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = 4096,

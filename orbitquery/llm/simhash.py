@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, doc_text, hex64, map_rows, scratch
+from .common import Table, doc_text, hex64, lean, map_rows, scratch
 from .components import connected_components, spanning
 
 #: Table rows of a cell that one block holds, and pairs compared at once.
@@ -180,12 +180,12 @@ def near_links(nodes: DataFrame, distance: int = 3, segments: int = 2, most: int
             for at in range(0, len(fps), 4096):
                 yield cells(fps[at:at + 4096], reps[at:at + 4096], segments, radius)
 
-    rows = nodes.select("fp", "rep").mapInArrow(spread, "cell long, role byte, fp long, rep long")
+    rows = nodes.select("fp", "rep").mapInArrow(lean(spread), "cell long, role byte, fp long, rep long")
     hot = Table(rows.where("role = 0").groupBy("cell").count().where(F.col("count") > most), "hot")
     if not hot.df.isEmpty():
         rows = _deal(rows, hot.df, most)
     ready = rows.repartition("cell").sortWithinPartitions("cell", "role", "fp")
-    return ready.mapInArrow(_scan(distance), "a long, b long, bits int")
+    return ready.mapInArrow(lean(_scan(distance)), "a long, b long, bits int")
 
 
 def _deal(rows: DataFrame, hot: DataFrame, most: int) -> DataFrame:

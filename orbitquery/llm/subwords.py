@@ -94,7 +94,7 @@ def blank_free(words: pa.Array) -> list[str]:
 class CachedEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, most: int = STRETCHES):
         import regex
         from tokenizers import Tokenizer
 
@@ -111,7 +111,7 @@ class CachedEncoder:
         self.names = _byte_names()
         self.first = Memo(lambda some: [self._stretch(s) for s in some], 10_000)
         #: By stretch without its leading blank.
-        self.rest = Memo(lambda some: [self._behind_blank(s) for s in some], STRETCHES)
+        self.rest = Memo(lambda some: [self._behind_blank(s) for s in some], most)
 
     def _recognised(self) -> str:
         """"byte" or "word" for the set-ups whose stretches are known to be independent, else ""."""
@@ -232,6 +232,6 @@ _ODD_BLANK = re.compile(r" (?:\s|\Z)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
 
-def encoder(vocabulary: str) -> CachedEncoder:
+def encoder(vocabulary: str, most: int = STRETCHES) -> CachedEncoder:
     """One per worker process, so that later tasks find the cache warm."""
-    return resident(("tokenizers", vocabulary), lambda: CachedEncoder(vocabulary))
+    return resident(("tokenizers", vocabulary, most), lambda: CachedEncoder(vocabulary, most))

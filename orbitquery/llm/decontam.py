@@ -71,14 +71,39 @@ class Item:
     answer: set[bytes]
 
 
+class Items(dict):
+    """The runs and words of items by their place, each made when it is first asked for."""
+
+    def __init__(self, items: pa.Table):
+        super().__init__()
+        self.ids, self.texts = items.column("item_id").to_numpy(), items.column("text").combine_chunks()
+
+    def __missing__(self, k: int) -> Item:
+        text = self.texts[k].as_py()
+        question, answer = question_answer(text)
+        self[k] = Item(int(self.ids[k]), set(shingles(words(text))), set(words(question)), set(words(answer)))
+        return self[k]
+
+
+_TEXTS = pa.schema([("item_id", pa.int64()), ("text", pa.string())])
+_POSTINGS = pa.schema([("item_id", pa.int64()), ("seg", pa.int32()), ("term", pa.binary()), ("impact", pa.float64())])
+
+
+def _as_table(rows: pa.Table | list[tuple], schema: pa.Schema) -> pa.Table:
+    if isinstance(rows, pa.Table):
+        return rows
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 class Index:
     """Postings by term, in blocks of segments, each with its largest impact."""
 
-    def __init__(self, items: pa.Table, postings: pa.Table):
-        """items: item_id, text by item_id; postings: item_id, seg, term, impact."""
-        self.ids, self.texts = items.column("item_id").to_numpy(), items.column("text").combine_chunks()
-        self.opened: dict[int, Item] = {}
-        place = np.searchsorted(self.ids, postings.column("item_id").to_numpy())
+    def __init__(self, items: pa.Table | list[tuple], postings: pa.Table | list[tuple]):
+        """items: item_id, text; postings: item_id, seg, term, impact; tables or lists of rows."""
+        self.items = Items(_as_table(items, _TEXTS).sort_by("item_id"))
+        postings = _as_table(postings, _POSTINGS)
+        place = np.searchsorted(self.items.ids, postings.column("item_id").to_numpy())
         part = postings.column("seg").to_numpy().astype(np.int64)
         width = int(part.max(initial=0)) + 1
         names, seg = np.unique(place * width + part, return_inverse=True)
@@ -100,14 +125,6 @@ class Index:
         self.term_at = np.searchsorted(t[new], np.arange(len(terms) + 1))
         self.best = np.append(np.maximum.reduceat(self.block_best, self.term_at[:-1]), 0.0)  # the last is for unknown words
 
-    def item(self, k: int) -> Item:
-        """The runs and words of an item, made when it is first retrieved."""
-        if k not in self.opened:
-            text = self.texts[k].as_py()
-            question, answer = question_answer(text)
-            self.opened[k] = Item(int(self.ids[k]), set(shingles(words(text))), set(words(question)), set(words(answer)))
-        return self.opened[k]
-
     def retrieve(self, ids: np.ndarray, threshold: float) -> dict[int, float]:
         """Best score of each item that some passage of the document retrieves. ids: term of each word, -1 if unknown."""
         found: dict[int, float] = {}
@@ -229,7 +246,7 @@ def _search(texts: DataFrame, shared, threshold: float, contained: float, part:
                 if hits:
                     have, runs = set(parts), set(shingles(parts))
                     for k, score in sorted(hits.items()):
-                        item = index.item(k)
+                        item = index.items[k]
                         n = len(item.shingles & runs)
                         q, a = (len(x & have) / len(x) if x else 1.0 for x in (item.question, item.answer))
                         if n >= contained * len(item.shingles) and q >= part and a >= part:
